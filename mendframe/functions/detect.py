@@ -8,12 +8,11 @@ lines), whatever the size of the file.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .rounding import fixed2
 from .text import _col, count_char, fields, is_blank, let, lines as text_lines, strip
 
 
@@ -78,44 +77,46 @@ def quoted_neighbour_vote(lines: Column) -> Column:
     )
 
 
-def _consistency_bucket(ratio: Column) -> Column:
-    """Index of the first threshold 1.0, 0.99, ... above 0.90 that a ratio meets."""
-    thresholds, level = [], 1.0
+def _thresholds() -> list[float]:
+    """1.0, 0.99, ... down to 0.90, as doubles reached by repeated subtraction."""
+    levels, level = [], 1.0
     while level >= 0.9:
-        thresholds.append(level)
+        levels.append(level)
         level -= 0.01
-    return reduce(lambda w, t: w.when(ratio >= t[1], F.lit(t[0])), list(enumerate(thresholds))[1:],
-                  F.when(ratio >= thresholds[0], F.lit(0)))
+    return levels
 
 
 def frequency_vote(lines: Column) -> Column:
     """Delimiter with the steadiest count per line, null when none is steady.
 
     Looks at 10, then 20, then 30 lines and stops at the first size at which
-    some delimiter is steady enough.
+    some delimiter is steady enough; the highest consistency level decides,
+    then the preference order.
     """
     n = F.size(lines)
+    levels = F.array(*[F.lit(t) for t in _thresholds()])
+    candidates = F.array(*[
+        F.struct(F.lit(d).alias("d"), F.lit(i).alias("preference")) for i, d in enumerate(K.SNIFFER_PREFERENCE)
+    ])
 
-    def judge(delimiter: str, chunks: int) -> Column:
-        counts = F.transform(F.slice(lines, 1, 10 * chunks), lambda l: count_char(l, delimiter))
-        total = F.least(n, F.lit(10 * chunks))
+    def judge(chunks, candidate):
+        counts = F.transform(F.slice(lines, F.lit(1), 10 * chunks), lambda l: count_char(l, candidate.getField("d")))
 
         def verdict(mode):
+            total = F.least(n, 10 * chunks)
             ratio = (2 * mode.getField("n") - total) / total.cast("double")
-            ok = (n > 10 * (chunks - 1)) & (mode.getField("v") > 0) & (ratio > 0)
-            return let(F.when(ok, let(ratio, _consistency_bucket)), lambda bucket: F.when(
-                bucket.isNotNull(),
-                F.struct(
-                    F.lit(chunks).alias("chunks"),
-                    bucket.alias("bucket"),
-                    F.lit(K.SNIFFER_PREFERENCE.index(delimiter)).alias("preference"),
-                    F.lit(delimiter).alias("delimiter"),
-                ),
+            # Levels above the ratio are missed; null when the lowest one is.
+            missed = let(ratio, lambda r: F.size(F.filter(levels, lambda t: t > r)))
+            fit = (mode.getField("v") > 0) & (ratio > 0) & (missed < F.size(levels))
+            return F.when(fit, F.struct(
+                chunks.alias("chunks"), missed.alias("level"), candidate.getField("preference").alias("preference"),
+                candidate.getField("d").alias("delimiter"),
             ))
 
         return let(most_common(counts), verdict)
 
-    verdicts = F.array(*[judge(d, k) for k in (1, 2, 3) for d in K.SNIFFER_PREFERENCE])
+    sizes = F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: n > 10 * (k - 1))
+    verdicts = F.flatten(F.transform(sizes, lambda k: F.transform(candidates, lambda c: judge(k, c))))
     return F.array_min(F.filter(verdicts, lambda v: v.isNotNull())).getField("delimiter")
 
 
@@ -336,17 +337,13 @@ def synthetic_header(lines: Column, delimiter, stripped: Column) -> Column:
 # Messages
 # --------------------------------------------------------------------------
 
-def _two(x: Column) -> Column:
-    return F.when(x == float("inf"), F.lit("inf")).otherwise(F.format_string("%.2f", x))
-
-
 def header_messages(scored: Column, choice: Column, counts: Column, modal: Column) -> Column:
     """Ordered list of messages about the header decision."""
     ln, status = choice.getField("ln"), choice.getField("status")
     number = lambda i: (i + 1).cast("string")
     top3 = F.array_join(F.transform(
         F.slice(scored, 1, 3),
-        lambda s: F.concat(F.lit("line "), number(s.getField("ln")), F.lit(" score="), _two(s.getField("score"))),
+        lambda s: F.concat(F.lit("line "), number(s.getField("ln")), F.lit(" score="), fixed2(s.getField("score"))),
     ), ", ")
     all_messages = F.array(
         F.when(preamble_heavy(counts), F.concat(
@@ -354,8 +351,8 @@ def header_messages(scored: Column, choice: Column, counts: Column, modal: Colum
             F.lit(" from multi-field lines."))),
         F.concat(F.lit("Header candidates (top 3): "), top3),
         F.when(choice.getField("tie_break"), F.concat(F.lit("Header chosen after tie-break: line "), number(ln))),
-        F.concat(F.lit("Header selected: line "), number(ln), F.lit(" (score="), _two(choice.getField("score")), F.lit(")")),
-        F.concat(F.lit("Header score gap: "), _two(choice.getField("gap"))),
+        F.concat(F.lit("Header selected: line "), number(ln), F.lit(" (score="), fixed2(choice.getField("score")), F.lit(")")),
+        F.concat(F.lit("Header score gap: "), fixed2(choice.getField("gap"))),
         F.concat(F.lit("Header modal field count: "), modal.cast("string")),
         F.when(status == "too_deep", F.lit(
             f"Header detection: candidate too deep (>{K.HEADER_MAX_PREAMBLE}); leaving file unchanged."))

@@ -8,12 +8,15 @@ profile is a narrow job: no shuffle, one pass.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import detect as D
-from ..functions.text import _col, fields
+from ..functions.rounding import round2
+from ..functions.text import _col, lines
 
 
 def with_samples(df: DataFrame, text) -> DataFrame:
@@ -60,7 +63,8 @@ def with_synthetic_header(df: DataFrame, respect_selected_header: bool = False)
     """
     names = D.synthetic_header(F.col("head_lines"), F.col("delimiter"), F.col("stripped"))
     if respect_selected_header:
-        clear = (F.col("header.status") == "first_line") & (F.col("header.gap") >= K.HEADER_MIN_GAP)
+        h = F.col("header")
+        clear = (h.getField("status") == "first_line") & ~h.getField("tie_break") & (h.getField("gap") >= K.HEADER_MIN_GAP)
         names = F.when(~F.coalesce(clear, F.lit(False)), names)
     return df.withColumn("synthetic", names)
 
@@ -73,8 +77,8 @@ def header_info() -> list[Column]:
         F.when(kept, F.lit(0)).otherwise(h.getField("ln")).cast("bigint").alias("header_line_index"),
         F.col("delimiter"),
         F.col("modal").cast("bigint").alias("column_count"),
-        F.round(h.getField("score"), 2).alias("confidence_score"),
-        F.round(h.getField("gap"), 2).alias("score_gap"),
+        round2(h.getField("score")).alias("confidence_score"),
+        round2(h.getField("gap")).alias("score_gap"),
     ]
 
 
@@ -82,3 +86,22 @@ def profile(df: DataFrame, text="text", respect_selected_header: bool = False) -
     """Complete profile of one-row-per-file texts."""
     staged = with_header(with_delimiter(with_samples(df, _col(text))))
     return with_synthetic_header(staged, respect_selected_header)
+
+
+def unnest(df: DataFrame, array: Column, value: str, pos: str = "pos", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per array element, numbered from 0.
+
+    ``posexplode`` makes Spark infer a filter on the array's size, which is
+    pushed below the profile's projections and computes the whole profile a
+    second time; the outer form with a later null filter does not.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
+def strip_preamble(df: DataFrame, text="text", keep: Sequence[str] = ()) -> DataFrame:
+    """(ln, line) of the lines from the header on, ln counted in the whole file."""
+    body = F.transform(
+        F.slice(lines(text), F.col("header_ln") + 1, F.length(_col(text)) + 1),
+        lambda line, i: F.struct((i + F.col("header_ln")).cast("bigint").alias("ln"), line.alias("line")),
+    )
+    return unnest(df, body, "_row", keep=keep).select(*keep, "_row.*")

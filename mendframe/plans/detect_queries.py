@@ -60,9 +60,9 @@ den AS (SELECT doc_id, avg(CASE WHEN regexp_matches(trim(trim(t, ' ' || chr(9)),
 
 _CHOICE = f"""{_FREQUENCY}, {_QUOTED}, {_SCORES}, {_DENSITY},
 best AS (SELECT doc_id, d AS best FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) = 1),
-two AS (SELECT doc_id, max(score) FILTER (d = ';') AS semi, max(score) FILTER (d = ',') AS comma FROM sc GROUP BY doc_id),
-choice AS (SELECT doc_id, coalesce(qvote, fvote, CASE WHEN abs(semi - comma) <= 0.35 AND density >= 0.06 THEN ';' END, best, ',') AS d,
-  CASE WHEN coalesce(qvote, fvote) IS NOT NULL THEN 'sniffer' WHEN abs(semi - comma) <= 0.35 AND density >= 0.06 THEN 'euro-aware' ELSE 'heuristic' END AS method
+two AS (SELECT doc_id, max(score) FILTER (d = ';') AS semis, max(score) FILTER (d = ',') AS commas FROM sc GROUP BY doc_id),
+choice AS (SELECT doc_id, coalesce(qvote, fvote, CASE WHEN abs(semis - commas) <= 0.35 AND density >= 0.06 THEN ';' END, best, ',') AS d,
+  CASE WHEN coalesce(qvote, fvote) IS NOT NULL THEN 'sniffer' WHEN abs(semis - commas) <= 0.35 AND density >= 0.06 THEN 'euro-aware' ELSE 'heuristic' END AS method
   FROM files LEFT JOIN qvote USING (doc_id) LEFT JOIN fvote USING (doc_id) LEFT JOIN two USING (doc_id) LEFT JOIN den USING (doc_id) LEFT JOIN best USING (doc_id))"""
 
 
@@ -72,8 +72,8 @@ def _sampled(spark, sf):
 
 @query("delimiter_sample", f"""{_BASE} SELECT doc_id, i::BIGINT AS i, line FROM sample""")
 def delimiter_sample(spark, sf):
-    s = _sampled(spark, sf).select("doc_id", F.posexplode("sample_lines").alias("p", "line"))
-    return s.select("doc_id", (F.col("p") + 1).cast("bigint").alias("i"), "line")
+    s = P.unnest(_sampled(spark, sf), F.col("sample_lines"), "line", keep=["doc_id"])
+    return s.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("i"), "line")
 
 
 @query("delimiter_frequency_vote", f"""{_BASE}, {_FREQUENCY}
@@ -90,8 +90,8 @@ def delimiter_vote(spark, sf):
 
 @query("delimiter_scores", f"""{_BASE}, {_COUNTS}, {_SCORES} SELECT doc_id, d AS delimiter, round(score, 6) AS score FROM sc""")
 def delimiter_scores(spark, sf):
-    s = _sampled(spark, sf).select("doc_id", F.inline(D.delimiter_scores(F.col("sample_lines"))))
-    return s.select("doc_id", "delimiter", F.round("score", 6).alias("score"))
+    s = P.unnest(_sampled(spark, sf), D.delimiter_scores(F.col("sample_lines")), "s", keep=["doc_id"])
+    return s.select("doc_id", "s.delimiter", F.round("s.score", 6).alias("score"))
 
 
 @query("decimal_comma_density", f"""{_BASE}, {_DENSITY} SELECT doc_id, round(density, 9) AS density FROM den""")
@@ -163,8 +163,8 @@ def _headed(spark, sf):
 
 @query("field_count_profile", f"""{_WIDTHS} SELECT doc_id, ln::BIGINT AS ln, width FROM w""")
 def field_count_profile(spark, sf):
-    c = _kinded(spark, sf).select("doc_id", F.inline(D.field_counts(F.col("head_lines"), F.col("delimiter"))))
-    return c.select("doc_id", F.col("ln").cast("bigint").alias("ln"), F.col("width").cast("bigint").alias("width"))
+    c = P.unnest(_kinded(spark, sf), D.field_counts(F.col("head_lines"), F.col("delimiter")), "c", keep=["doc_id"])
+    return c.select("doc_id", F.col("c.ln").cast("bigint").alias("ln"), F.col("c.width").cast("bigint").alias("width"))
 
 
 @query("modal_width", f"""{_WIDTHS} SELECT doc_id, modal FROM modal""")
@@ -174,20 +174,20 @@ def modal_width(spark, sf):
 
 @query("header_candidates", f"""{_WIDTHS} SELECT doc_id, ln::BIGINT AS ln FROM candidates""")
 def header_candidates(spark, sf):
-    c = _headed(spark, sf).select("doc_id", F.explode("candidates").alias("ln"))
+    c = P.unnest(_headed(spark, sf), F.col("candidates"), "ln", keep=["doc_id"])
     return c.select("doc_id", F.col("ln").cast("bigint").alias("ln"))
 
 
 @query("header_scores", f"""{_SCORED} SELECT doc_id, ln::BIGINT AS ln, round(score, 6) AS score FROM scored""")
 def header_scores(spark, sf):
-    s = _headed(spark, sf).select("doc_id", F.inline("scored"))
-    return s.select("doc_id", F.col("ln").cast("bigint").alias("ln"), F.round("score", 6).alias("score"))
+    s = P.unnest(_headed(spark, sf), F.col("scored"), "s", keep=["doc_id"])
+    return s.select("doc_id", F.col("s.ln").cast("bigint").alias("ln"), F.round("s.score", 6).alias("score"))
 
 
 @query("top_header_candidates", f"""{_HEADER} SELECT doc_id, r, ln::BIGINT AS ln FROM ranked WHERE r <= 3""")
 def top_header_candidates(spark, sf):
-    s = _headed(spark, sf).select("doc_id", F.posexplode(F.slice("scored", 1, 3)).alias("p", "s"))
-    return s.select("doc_id", (F.col("p") + 1).cast("bigint").alias("r"), F.col("s.ln").cast("bigint").alias("ln"))
+    s = P.unnest(_headed(spark, sf), F.slice("scored", 1, 3), "s", keep=["doc_id"])
+    return s.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("r"), F.col("s.ln").cast("bigint").alias("ln"))
 
 
 @query("header_choice", f"""{_HEADER} SELECT doc_id, ln::BIGINT AS ln, tie, status, round(score, 4) AS score, round(fgap, 4) AS gap FROM header""")
@@ -200,14 +200,11 @@ def header_choice(spark, sf):
 @query("strip_preamble", f"""{_HEADER} SELECT doc_id, lines.ln::BIGINT AS ln, line FROM lines LEFT JOIN header USING (doc_id)
 WHERE lines.ln >= CASE WHEN status = 'stripped' THEN header.ln ELSE 0 END""")
 def strip_preamble(spark, sf):
-    from ..functions.text import lines
-
-    h = _headed(spark, sf).select("doc_id", "header_ln", F.posexplode(lines("text")).alias("ln", "line"))
-    return h.filter("ln >= header_ln").select("doc_id", F.col("ln").cast("bigint").alias("ln"), "line")
+    return P.strip_preamble(_headed(spark, sf), keep=["doc_id"])
 
 
 @query("header_info", f"""{_HEADER} SELECT doc_id, CASE WHEN status IN ('stripped', 'too_deep') THEN 0 ELSE ln END::BIGINT AS header_line_index,
-  {_KIND} AS delimiter, modal AS column_count, round(score, 2) AS confidence_score, round(fgap, 2) AS score_gap FROM header""")
+  {_KIND} AS delimiter, modal AS column_count, printf('%.2f', score)::DOUBLE AS confidence_score, printf('%.2f', fgap)::DOUBLE AS score_gap FROM header""")
 def header_info(spark, sf):
     return _headed(spark, sf).select("doc_id", *P.header_info())
 
