@@ -50,7 +50,7 @@ def _segments(hits: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
     )
 
 
-def _admit(times: np.ndarray, recent: deque, window_us: int, max_hits: int) -> np.ndarray:
+def admit(times: np.ndarray, recent: deque, window_us: int, max_hits: int) -> np.ndarray:
     """Accepted positions of sorted hit times; `recent` holds the last accepted times.
 
     Only accepted hits cost a step: a rejected run is skipped by binary search
@@ -63,7 +63,7 @@ def _admit(times: np.ndarray, recent: deque, window_us: int, max_hits: int) -> n
             i = int(np.searchsorted(times, recent[0] + window_us, side="right"))
             continue
         ok[i] = True
-        recent.append(times[i])
+        recent.append(int(times[i]))
         i += 1
     return ok
 
@@ -79,7 +79,7 @@ def _limiter(window_us: int, max_hits: int):
             for a, b in zip(edges, [*edges[1:], len(batch)]):
                 if marks[a] != current:
                     current, recent = marks[a], deque(maxlen=max_hits)
-                accepted[a:b] = _admit(times[a:b], recent, window_us, max_hits)
+                accepted[a:b] = admit(times[a:b], recent, window_us, max_hits)
             yield pd.DataFrame({"id": batch["id"], "accepted": accepted})
 
     return run

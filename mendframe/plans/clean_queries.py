@@ -236,7 +236,7 @@ def exact_dedup_lineitem_terms(spark, sf):
 # --- keyed, time-ordered ----------------------------------------------------------------
 
 # Hits of each key in order; the list holds the accepted times still remembered.
-_LIMIT = """WITH RECURSIVE h AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+RATE_LIMIT_SQL = """WITH RECURSIVE h AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f(user_id, i, event_id, ok, q) AS (
   SELECT user_id, i, event_id, true, [us] FROM h WHERE i = 1
   UNION ALL
@@ -247,12 +247,12 @@ f(user_id, i, event_id, ok, q) AS (
 SELECT event_id AS id, ok AS accepted FROM f"""
 
 
-@query("rate_limit_events", _LIMIT.format(w=86_400_000_000, m=2))
+@query("rate_limit_events", RATE_LIMIT_SQL.format(w=86_400_000_000, m=2))
 def rate_limit_events(spark, sf):
     return V.rate_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", max_hits=2, window_seconds=86_400)
 
 
-@query("rate_limit_hourly", _LIMIT.format(w=3_600_000_000, m=1))
+@query("rate_limit_hourly", RATE_LIMIT_SQL.format(w=3_600_000_000, m=1))
 def rate_limit_hourly(spark, sf):
     return V.rate_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", max_hits=1, window_seconds=3_600)
 
