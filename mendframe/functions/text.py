@@ -12,6 +12,9 @@ recurse, so a very long quoted field costs one linear pass.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +46,7 @@ def is_blank(c) -> Column:
 
 def collapse_whitespace(c) -> Column:
     """Turn every whitespace run into one space (ends are not trimmed)."""
-    spaced = F.translate(_col(c), K.WHITESPACE, " " * len(K.WHITESPACE))
-    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+    return F.regexp_replace(_col(c), r"(?U)[\s\x{1c}-\x{1f}]+", " ")
 
 
 # --------------------------------------------------------------------------
@@ -58,7 +60,7 @@ def latin1_text(raw) -> Column:
 
 def has_cp1252_undefined(raw) -> Column:
     l1 = latin1_text(raw)
-    return F.translate(l1, K.CP1252_UNDEFINED, "") != l1
+    return reduce(or_, [F.contains(l1, F.lit(u)) for u in K.CP1252_UNDEFINED])
 
 
 def encoding_label(valid_utf8, undefined, bom) -> Column:

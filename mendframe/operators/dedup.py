@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.compare import compare_keys, row_digest
 from ..functions.names import ignorable_columns
+from ..sources.workspace import Workspace
 from .clean import data_columns, quoted
 
 # At most this many groups are treated as hot; their keys are broadcast
@@ -87,26 +88,30 @@ def near_duplicate_examples(df: DataFrame, order_by: str, limit: int = K.NEAR_DU
     """The first ``limit`` (kept, removed) row pairs, as two structs.
 
     Ordered by kept, then removed row.  ``limit`` groups are enough to give
-    ``limit`` pairs, so only that many keys and pairs are ever broadcast.
+    ``limit`` pairs, so only that many keys and pairs are ever broadcast.  The
+    keys are written once (40 bytes per row) and the wide rows are read once more.
     """
     rows = keyed_rows(df, order_by, compare_cols)
     row = F.struct(*[quoted(c) for c in df.columns])
     if rows is None:
         return df.limit(0).select(row.alias("kept"), row.alias("removed"))
+    rows = Workspace(df.sparkSession).save(rows, "near_keys")
     first = duplicate_groups(rows).filter("n > 1").orderBy("kept_id").limit(limit)
     pairs = (
         rows.join(F.broadcast(first), "key")
         .filter(F.col("row_id") != F.col("kept_id"))
         .orderBy("kept_id", "row_id").limit(limit)
-        .select("kept_id", "row_id")
     )
-    whole = df.select(quoted(order_by).alias("_id"), row.alias("_row"))
-    kept = whole.join(F.broadcast(pairs), F.col("_id") == F.col("kept_id")).select(
-        "kept_id", "row_id", F.col("_row").alias("kept"))
-    removed = whole.select(F.col("_id").alias("row_id"), F.col("_row").alias("removed"))
-    return (
-        removed.join(F.broadcast(kept), "row_id").orderBy("kept_id", "row_id").select("kept", "removed")
+    roles = pairs.select("kept_id", F.col("row_id").alias("removed_id"), F.inline(F.array(
+        F.struct(F.col("kept_id").alias("_id"), F.lit(True).alias("is_kept")),
+        F.struct(F.col("row_id").alias("_id"), F.lit(False).alias("is_kept")),
+    )))
+    found = df.select(quoted(order_by).alias("_id"), row.alias("_row")).join(F.broadcast(roles), "_id")
+    both = found.groupBy("kept_id", "removed_id").agg(
+        F.any_value(F.when(F.col("is_kept"), F.col("_row")), F.lit(True)).alias("kept"),
+        F.any_value(F.when(~F.col("is_kept"), F.col("_row")), F.lit(True)).alias("removed"),
     )
+    return both.orderBy("kept_id", "removed_id").select("kept", "removed")
 
 
 def comparison_rows(examples: DataFrame, mode: str = "remove") -> DataFrame:
@@ -132,12 +137,15 @@ def group_occurrences(df: DataFrame, order_by: str, compare_cols: Sequence[str]
     """(kept_id, row_id, n): every row with the first row of its group.
 
     Rows of the largest groups meet their group through a broadcast of those
-    few keys; all others through a shuffle in which no key is large.
+    few keys; all others through a shuffle in which no key is large.  Keys and
+    groups are written once, since both paths read them.
     """
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         raise ValueError("no columns to compare")
-    groups = duplicate_groups(rows)
+    ws = Workspace(df.sparkSession)
+    rows = ws.save(rows, "near_keys")
+    groups = ws.save(duplicate_groups(rows), "near_groups")
     hot = groups.orderBy(F.desc("n"), "key").limit(HOT_GROUPS)
     in_hot = rows.join(F.broadcast(hot), "key")
     cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups, "key")
