@@ -230,19 +230,38 @@ def conform(fields_col, width) -> Column:
     )
 
 
+def may_need_strip(record) -> Column:
+    """False when no cell of a raw record can start or end with whitespace.
+
+    Cells start after the record's start, a delimiter or a quote, and end
+    before one; so whitespace next to none of these leaves the cells as they are.
+    """
+    edge, space = '[,;\\t|"]', r"[\s\x{1c}-\x{1f}]"
+    return _col(record).rlike(rf"(?U)(?:\A|{edge}){space}|{space}(?:{edge}|\z)")
+
+
+def strip_cells(cells, record=None) -> Column:
+    """Strip every cell; with the raw record given, clean rows are passed through."""
+    stripped = F.transform(_col(cells), strip)
+    return stripped if record is None else F.when(may_need_strip(record), stripped).otherwise(_col(cells))
+
+
 def render_row(fields_col, delimiter) -> Column:
     """One output line: cells quoted only when needed, quotes doubled.
 
-    A single empty cell is written as ``""`` so that the row is not an empty line.
+    A single empty cell is written as ``""`` so that the row is not an empty
+    line.  Rows in which no cell needs quotes, the common case, are only joined.
     """
     f, d = _col(fields_col), _lit_or_col(delimiter)
 
     def cell(x):
-        need = (
-            F.contains(x, d) | F.contains(x, F.lit('"')) | F.contains(x, F.lit("\n")) | F.contains(x, F.lit("\r"))
-        )
+        need = reduce(or_, [F.contains(x, c) for c in (d, F.lit('"'), F.lit("\n"), F.lit("\r"))])
         quoted = F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
         return F.when(x.isNull(), F.lit("")).when(need, quoted).otherwise(x)
 
-    line = F.call_function("concat_ws", d, F.transform(f, cell))
+    # concat_ws skips nulls, so a null cell also makes the separator count differ.
+    joined = F.call_function("concat_ws", d, f)
+    plain = (count_char(joined, d) == F.size(f) - 1) & ~reduce(
+        or_, [F.contains(joined, F.lit(c)) for c in ('"', "\n", "\r")])
+    line = F.when(plain, joined).otherwise(F.call_function("concat_ws", d, F.transform(f, cell)))
     return F.when((F.size(f) == 1) & (line == F.lit("")), F.lit('""')).otherwise(line)

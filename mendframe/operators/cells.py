@@ -14,7 +14,7 @@ from ..functions import constants as K
 from ..functions import names as N
 from ..functions.compare import compare_text
 from ..functions.numbers import parse_number
-from ..functions.text import is_blank, strip
+from ..functions.text import is_blank, strip_cells
 
 
 def header_rows(df: DataFrame, raw_header: Column) -> DataFrame:
@@ -30,12 +30,13 @@ def header_rows(df: DataFrame, raw_header: Column) -> DataFrame:
 def clean_cells(df: DataFrame, blank_is_empty: bool) -> DataFrame:
     """Trim cells and drop exact duplicates per file, keeping the first row.
 
-    Input: (file, ln, cells, too_long, too_short).  One aggregate gives the
+    Input: (file, ln, text, cells, too_long, too_short).  One aggregate gives the
     kept row and all counters of its copies; copies are combined before the
     shuffle.  ``key`` orders rows and carries the first row's repaired flag.
     """
-    trimmed = F.transform("cells", strip)
-    changed = F.size(F.filter(F.zip_with("cells", "_trimmed", lambda a, b: a != b), lambda x: x))
+    trimmed = strip_cells("cells", F.col("text"))
+    changed = F.when(F.col("cells") == F.col("_trimmed"), 0).otherwise(
+        F.size(F.filter(F.zip_with("cells", "_trimmed", lambda a, b: a != b), lambda x: x)))
     rows = df.withColumn("_trimmed", trimmed).select(
         "file", F.col("_trimmed").alias("cells"),
         (F.col("ln") * 2 + (F.col("too_long") | F.col("too_short")).cast("int")).alias("key"),

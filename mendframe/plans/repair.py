@@ -150,10 +150,12 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
         "file", "blk", "mid0", "ln_before", "inner_cr", "encoding", "bom", "delimiter", "header_ln", "open_tail_nl"), "plan")
 
     # 4. Records from the header line on, and parity statistics of whole files.
-    all_lines = S.lines(bronze, planned, n_blocks, any_inner_cr, keep=["delimiter", "header_ln"])
-    stitch = R.stitch_facts(all_lines, planned, files, n_blocks, ws, any_quote)
-    body = all_lines.filter(F.col("ln") >= F.col("header_ln")).drop("header_ln")
-    records, oversized = R.read_records(body, planned, n_blocks, ws, any_quote, limits.max_record_chars)
+    keep = ["delimiter", "header_ln"]
+    all_lines = S.lines(bronze, planned, n_blocks, any_inner_cr, keep)
+    quoted = S.lines(bronze, planned, n_blocks, any_inner_cr, keep, quoted_only=True)
+    stitch = R.stitch_facts(quoted, planned, files, n_blocks, ws, any_quote)
+    body, quoted = [d.filter(F.col("ln") >= F.col("header_ln")).drop("header_ln") for d in (all_lines, quoted)]
+    records, oversized = R.read_records(body, quoted, planned, n_blocks, ws, any_quote, limits.max_record_chars)
 
     # 5. Headers: the first record, or generated names.
     first = records.join(F.broadcast(profile.select("file", "header_ln")) if profile.count() <= S.BROADCAST_ROWS

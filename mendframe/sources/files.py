@@ -124,13 +124,15 @@ def _first_line_prefix(encoding: Column, bom: Column) -> Column:
     return F.when(bom & ~F.startswith(encoding, F.lit("utf-8")), F.lit("ï»¿")).otherwise(F.lit(""))
 
 
-def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool, keep: Sequence[str] = ()) -> DataFrame:
+def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool, keep: Sequence[str] = (),
+          quoted_only: bool = False) -> DataFrame:
     """(file, blk, ln, text, *keep): decoded lines, numbered from 0 per file.
 
     ``blocks`` holds block facts, the file's ``encoding`` and ``bom``, and the
     columns to keep.  Numbers need no shuffle: a segment's place in its block
     is its id minus the block's first id.  Only blocks with lone CRs, where a
-    segment holds several lines, are ordered by a window.
+    segment holds several lines, are ordered by a window.  ``quoted_only``
+    keeps lines that hold a quote, dropping others before they are decoded.
     """
     used = ["file", "blk", "mid0", "ln_before", "inner_cr", "encoding", "bom", *keep]
     joined = with_facts(segments.select("file", "blk", "mid", "raw"), blocks.select(used), n_blocks)
@@ -143,6 +145,8 @@ def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: b
         "_t", F.when(F.endswith("_t", F.lit("\r")), F.substring(F.col("_t"), F.lit(1), F.length("_t") - 1)).otherwise(F.col("_t"))
     )
     plain = cut.filter(~F.col("inner_cr")) if any_inner_cr else cut
+    if quoted_only:
+        plain = plain.filter(F.contains("raw", F.unhex(F.lit("22"))))
     out = ["file", "blk", "ln", "text", *keep]
     numbered = plain.withColumn("ln", F.col("ln_before") + F.col("mid") - F.col("mid0")).withColumn("text", F.col("_t"))
     if not any_inner_cr:
@@ -151,7 +155,8 @@ def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: b
     split = cut.filter("inner_cr").select(
         "file", "blk", "mid", "ln_before", *keep, F.posexplode(F.split("_t", "\r")).alias("_sub", "text"))
     return numbered.select(out).unionByName(
-        split.withColumn("ln", F.col("ln_before") + F.row_number().over(order) - 1).select(out))
+        split.withColumn("ln", F.col("ln_before") + F.row_number().over(order) - 1)
+        .filter(F.contains("text", F.lit('"')) if quoted_only else F.lit(True)).select(out))
 
 
 def heads(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool) -> DataFrame:
