@@ -43,8 +43,10 @@ def _segments(hits: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
         .select("key", "bucket", F.when(F.col("opens"), F.col("first_us")).otherwise(F.col("carry")).alias("start"))
     )
     starts = F.when(F.col("us") - F.col("prev") > window_us, F.col("us"))
+    # Null keys and times are hits too, hence the null-safe comparison.
+    same = local["key"].eqNullSafe(carried["key"]) & local["bucket"].eqNullSafe(carried["bucket"])
     return (
-        local.join(carried, ["key", "bucket"])
+        local.join(carried, same).drop(carried["key"], carried["bucket"])
         .withColumn("segment", F.coalesce(F.last(starts, ignorenulls=True).over(inside), F.col("start")))
         .drop("bucket", "prev", "start")
     )

@@ -28,19 +28,27 @@ def block_order() -> Window:
     return Window.partitionBy("file").orderBy("blk")
 
 
-def quote_states(lines: DataFrame) -> DataFrame:
-    """(file, blk, ln, fixed, state): the composed effect of a block up to a line,
-    from the lines that hold a quote.
+def quote_effects(quoted: DataFrame) -> DataFrame:
+    """What each line with a quote does, as a narrow table.
 
-    ``fixed`` tells that the state no longer depends on how the block started;
-    otherwise ``state`` is 1 when the start state is flipped.
+    ``odd``: it switches the quote parity; ``closed_start`` and ``open_start``:
+    whether a field is open after it when none / one was open before.
     """
-    quoted = lines.select(
-        "file", "blk", "ln",
+    return quoted.select(
+        "file", "blk", "ln", (F.col("ln") >= F.col("header_ln")).alias("in_body"),
+        (X.count_char("text", '"') % 2 == 1).alias("odd"),
         X.ends_open("text", F.col("delimiter")).alias("closed_start"),
         X.ends_open(F.concat(F.lit('"'), "text"), F.col("delimiter")).alias("open_start"),
     )
-    acting = quoted.filter(F.col("closed_start") | ~F.col("open_start"))  # others leave the state
+
+
+def quote_states(effects: DataFrame) -> DataFrame:
+    """(file, blk, ln, fixed, state): the composed effect of a block up to a line.
+
+    ``fixed`` tells that the state no longer depends on how the block started;
+    otherwise ``state`` is 1 when the start state is flipped.
+    """
+    acting = effects.filter("in_body AND (closed_start OR NOT open_start)")  # others leave the state
     fixes = F.col("closed_start") == F.col("open_start")
     marked = acting.select(
         "file", "blk", "ln", F.when(fixes, F.col("closed_start").cast("int")).alias("const"),
@@ -99,18 +107,18 @@ def one_line_records(lines: DataFrame) -> DataFrame:
     return lines.select("file", "blk", "ln", F.lit(1).cast("bigint").alias("n_phys"), "text", "delimiter")
 
 
-def read_records(lines: DataFrame, quoted: DataFrame, blocks: DataFrame, n_blocks: int, ws: Workspace, any_quote: bool,
+def read_records(lines: DataFrame, effects: DataFrame | None, blocks: DataFrame, n_blocks: int, ws: Workspace,
                  max_record_chars: int) -> tuple[DataFrame, DataFrame | None]:
     """(records, oversized files).
 
     ``lines`` has (file, blk, ln, text, delimiter) from the header line on,
-    ``quoted`` those of them that hold a quote, ``blocks`` the blocks in play with ``open_tail_nl``: whether a field still
+    ``effects`` is the table of :func:`quote_effects` (None without quotes), ``blocks`` the blocks in play with ``open_tail_nl``: whether a field still
     open at the end of the file keeps a final newline.  A record longer than
     ``max_record_chars`` is never gathered; its file is reported instead.
     """
-    if not any_quote:
+    if effects is None:
         return one_line_records(lines), None
-    states = ws.save(quote_states(quoted), "quote_states")
+    states = ws.save(quote_states(effects), "quote_states")
     starts = ws.save(block_states(states, blocks), "block_states")
     resolved = ws.save(resolve(states, starts, n_blocks), "quote_lines")
     opened = ws.save(open_blocks(resolved, starts), "open_blocks")
@@ -144,20 +152,18 @@ def read_records(lines: DataFrame, quoted: DataFrame, blocks: DataFrame, n_block
     return calm.select(RECORD).unionByName(single.select(RECORD)).unionByName(joined.select(RECORD)), oversized
 
 
-def stitch_facts(quoted: DataFrame, blocks: DataFrame, files: DataFrame, n_blocks: int, ws: Workspace,
-                 any_quote: bool) -> DataFrame:
+def stitch_facts(effects: DataFrame | None, blocks: DataFrame, files: DataFrame, n_blocks: int) -> DataFrame:
     """Quote-parity statistics per file.
 
-    ``quoted`` has the lines that hold a quote.  Only an odd number of quotes
-    switches the parity; such lines, in order, open and close in turn, and each
-    pair is one record.
+    Only lines with an odd number of quotes switch the parity; in order they
+    open and close in turn, and each pair is one record.
     """
     physical = (F.col("n_lines") + F.col("ends_nl").cast("int")).alias("physical_lines")
     whole = files.select("file", physical)
-    if not any_quote:
+    if effects is None:
         return whole.select("file", "physical_lines", F.col("physical_lines").alias("logical_lines"),
                             F.lit(0).cast("bigint").alias("stitched_records"), F.lit(1).cast("bigint").alias("max_physical_per_record"))
-    odd = ws.save(quoted.filter(X.count_char("text", '"') % 2 == 1).select("file", "blk", "ln"), "odd_lines")
+    odd = effects.filter("odd").select("file", "blk", "ln")
     per_block = odd.groupBy("file", "blk").agg(F.count(F.lit(1)).alias("n"), F.min("ln").alias("first"))
     spread = blocks.select("file", "blk").join(per_block, ["file", "blk"], "left").join(whole, "file")
     above = block_order().rowsBetween(Window.unboundedPreceding, -1)

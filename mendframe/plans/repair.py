@@ -96,7 +96,7 @@ class RepairResult:
         lines = self.rows.select("file", "_row_id", "cells").unionByName(
             self.files.select("file", F.lit(-1).cast("bigint").alias("_row_id"), F.col("header").alias("cells")))
         n = self.files.count()
-        with_d = S.with_facts(lines, self.files.select("file", "delimiter", "name"), n, keys=["file"])
+        with_d = S.with_file_facts(lines, self.files.select("file", "delimiter", "name"), n)
         rendered = with_d.select(
             F.concat_ws("-", F.substring(F.sha2("file", 256), 1, 12), "name").alias("source"), "_row_id",
             X.render_row("cells", F.col("delimiter")).alias("value"))
@@ -133,12 +133,19 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     files = ws.save(S.file_facts(blocks), "files")
     facts = blocks.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("inner_cr"), F.lit(False)).alias("inner_cr"),
-        F.coalesce(F.bool_or("has_quote"), F.lit(False)).alias("quote")).first()
-    n_blocks, any_inner_cr, any_quote = facts["n"], facts["inner_cr"], facts["quote"]
+        F.coalesce(F.bool_or("has_quote"), F.lit(False)).alias("quote"),
+        F.coalesce(F.bool_or("has_nul"), F.lit(False)).alias("nul"),
+        F.coalesce(F.max(F.when(F.col("ln_before") < K.SAMPLE_CHARS, F.col("blk"))), F.lit(0)).alias("head_blk")).first()
+    n_blocks, any_inner_cr, head_blk = facts["n"], facts["inner_cr"], facts["head_blk"]
 
     # 3. Profile: one row per file.
     coded = blocks.join(files.select("file", "encoding", "bom", "ends_nl"), "file")
-    head = S.heads(bronze, coded, n_blocks, any_inner_cr)
+    head = S.heads(bronze, coded, n_blocks, any_inner_cr, head_blk)
+    if facts["nul"]:
+        nul = S.binary_files(bronze, coded, n_blocks, head_blk).withColumn("binary", F.lit(True))
+        head = head.join(nul, "file", "left").withColumn("binary", F.coalesce("binary", F.lit(False)))
+    else:
+        head = head.withColumn("binary", F.lit(False))
     profiled = PR.with_synthetic_header(PR.with_header(PR.with_delimiter(head)), respect)
     kept = ["file", "binary", "delimiter", "choice", "modal", "header", "header_ln", "stripped", "header_log", "synthetic", "counts"]
     profile = ws.save(profiled.select(kept), "profile").withColumnRenamed("header", "header_choice")
@@ -151,15 +158,18 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
 
     # 4. Records from the header line on, and parity statistics of whole files.
     keep = ["delimiter", "header_ln"]
-    all_lines = S.lines(bronze, planned, n_blocks, any_inner_cr, keep)
-    quoted = S.lines(bronze, planned, n_blocks, any_inner_cr, keep, quoted_only=True)
-    stitch = R.stitch_facts(quoted, planned, files, n_blocks, ws, any_quote)
-    body, quoted = [d.filter(F.col("ln") >= F.col("header_ln")).drop("header_ln") for d in (all_lines, quoted)]
-    records, oversized = R.read_records(body, quoted, planned, n_blocks, ws, any_quote, limits.max_record_chars)
+    effects = None
+    if facts["quote"]:
+        quoted = S.lines(bronze, planned, n_blocks, any_inner_cr, keep, quoted_only=True)
+        effects = ws.save(R.quote_effects(quoted), "quote_effects")
+    stitch = R.stitch_facts(effects, planned, files, n_blocks)
+    body = S.lines(bronze, planned, n_blocks, any_inner_cr, keep).filter(F.col("ln") >= F.col("header_ln")).drop("header_ln")
+    records, oversized = R.read_records(body, effects, planned, n_blocks, ws, limits.max_record_chars)
 
     # 5. Headers: the first record, or generated names.
-    first = records.join(F.broadcast(profile.select("file", "header_ln")) if profile.count() <= S.BROADCAST_ROWS
-                         else profile.select("file", "header_ln"), "file").filter(F.col("ln") == F.col("header_ln"))
+    n_files = files.count()
+    near = records.filter(F.col("blk") <= head_blk).withColumnRenamed("ln", "_row_id")
+    first = S.with_file_facts(near, profile.select("file", "header_ln"), n_files).filter(F.col("_row_id") == F.col("header_ln"))
     named = profile.filter("NOT binary").join(
         first.select("file", X.fields("text", F.col("delimiter")).alias("own")), "file", "left")
     headers = ws.save(C.header_rows(named.select("file", "synthetic", "header_ln", "own"),
@@ -180,20 +190,18 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
 
     # 7. Numbers.
     data = cleaned.filter("NOT is_empty").select("file", "_row_id", "_repaired", "cells")
-    n_files = files.count()
     numeric = None
     if normalize_numbers:
-        numeric = ws.save(C.numeric_positions(data), "numeric")
-        side = numeric.select("file", "numeric")
-        side = F.broadcast(side) if n_files <= S.BROADCAST_ROWS else side
-        data = C.convert_numbers(data.join(side, "file", "left").withColumn(
-            "numeric", F.coalesce("numeric", F.array().cast("array<int>")))).drop("numeric")
+        found = headers.select("file").join(C.numeric_positions(data), "file", "left")
+        numeric = ws.save(found.select(
+            "file", F.coalesce("numeric", F.array().cast("array<int>")).alias("numeric"), "lossy_cells"), "numeric")
+        data = C.convert_numbers(S.with_file_facts(data, numeric.select("file", "numeric"), n_files)).drop("numeric")
 
     # 8. Near-duplicates.
     examples = data.limit(0).select("file", F.col("cells").alias("kept"), F.col("cells").alias("removed"))
     dupes = None
     if near_dupes:
-        flagged = S.with_facts(data, headers.select("file", "ignored"), n_files, keys=["file"])
+        flagged = S.with_file_facts(data, headers.select("file", "ignored"), n_files)
         keys = C.near_duplicate_keys(flagged)
         groups = ws.save(C.near_duplicate_groups(keys), "near_groups")
         dupes = groups.groupBy("file").agg(F.sum(F.col("n") - 1).alias("near_dupes"))
@@ -205,6 +213,7 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
         examples = examples.select("file", "kept_id", "removed_id", "kept", "removed")
         if near_dupes == "remove":
             first_ids = groups.select("file", F.col("kept_id").alias("_row_id"))
+            # Files in which every column is ignored keep all rows.
             uncompared = headers.filter(~F.exists("ignored", lambda x: ~x)).select("file")
             compared_rows = data.join(first_ids.hint("shuffle_hash"), ["file", "_row_id"], "left_semi")
             data = compared_rows if uncompared.isEmpty() else compared_rows.unionByName(data.join(uncompared, "file", "left_semi"))

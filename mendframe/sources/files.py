@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions.detect import sample_lines
 
 # Fact tables up to this many rows (some 300 bytes each) are broadcast;
 # larger ones are joined by a shuffle on (file, block).
@@ -72,6 +73,7 @@ def block_facts(segments: DataFrame) -> DataFrame:
         (F.sum(inner_cr) > 0).alias("inner_cr"),
         F.bool_or(F.contains(l1, F.lit("\r"))).alias("has_cr"),
         F.bool_or(F.contains(l1, F.lit('"'))).alias("has_quote"),
+        F.bool_or(F.contains(l1, F.lit("\u0000"))).alias("has_nul"),
         F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("valid"),
         F.bool_or(X.has_cp1252_undefined("raw")).alias("undefined"),
         F.max_by(F.endswith(l1, F.lit("\r")), "mid").alias("last_cr"),
@@ -119,6 +121,22 @@ def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(side, "file", "left_anti")
 
 
+SALTS = 16
+
+
+def with_file_facts(rows: DataFrame, facts: DataFrame, n_files: int) -> DataFrame:
+    """Join per-file facts to rows with a ``_row_id``.
+
+    Too many files for a broadcast are joined by (file, salt), so that a file
+    holding a large share of the rows is spread over several tasks.
+    """
+    if n_files <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), "file")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row_id"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("shuffle_hash"), ["file", "_salt"]).drop("_salt")
+
+
 def _first_line_prefix(encoding: Column, bom: Column) -> Column:
     """The three bytes of a BOM are text when the file is not UTF-8."""
     return F.when(bom & ~F.startswith(encoding, F.lit("utf-8")), F.lit("ï»¿")).otherwise(F.lit(""))
@@ -159,36 +177,38 @@ def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: b
         .filter(F.contains("text", F.lit('"')) if quoted_only else F.lit(True)).select(out))
 
 
-def heads(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool) -> DataFrame:
-    """(file, head_lines, sample_lines, binary): the first lines of each file.
+def heads(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool, head_blk: int) -> DataFrame:
+    """(file, head_lines, sample_lines): the first lines of each file.
 
-    Reads only blocks that start within the detection window; what is
-    gathered per file is bounded by the window.
+    Reads only blocks that start within the detection window (``head_blk``
+    lets the scan skip the others); what is gathered per file is bounded by
+    the window.
     """
     near = blocks.filter(F.col("ln_before") < K.SAMPLE_CHARS)
-    first = lines(segments, near, n_blocks, any_inner_cr).filter(F.col("ln") < K.SAMPLE_CHARS)
+    scan = segments.filter(F.col("blk") <= head_blk)
+    first = lines(scan, near, n_blocks, any_inner_cr).filter(F.col("ln") < K.SAMPLE_CHARS)
     above = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     placed = first.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(above), F.lit(0)))
     kept = placed.filter((F.col("ln") < K.HEADER_SCAN_LINES) | (F.col("start") < K.SAMPLE_CHARS))
     gathered = kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ln", "text"))).alias("_l"))
     texts = F.transform("_l", lambda r: r.getField("text"))
-    from ..functions.detect import sample_lines
-
-    out = gathered.select("file", texts.alias("_t")).select(
+    return gathered.select("file", texts.alias("_t")).select(
         "file", F.slice("_t", 1, K.HEADER_SCAN_LINES).alias("head_lines"),
         sample_lines(F.array_join("_t", "\n")).alias("sample_lines"))
-    return out.join(binary_files(segments, near, n_blocks), "file", "left").withColumn(
-        "binary", F.coalesce("binary", F.lit(False)))
 
 
-def binary_files(segments: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """(file, binary) of files with a NUL among their first bytes."""
-    joined = with_facts(segments, blocks.select("file", "blk", "mid0", "ln_before", "bom"), n_blocks)
-    first = joined.filter(F.col("ln_before") + F.col("mid") - F.col("mid0") < K.BINARY_SNIFF_BYTES)
+def binary_files(segments: DataFrame, blocks: DataFrame, n_blocks: int, head_blk: int) -> DataFrame:
+    """(file) of files with a NUL among their first bytes.
+
+    Only blocks of files that hold a NUL at all are read to find where it is.
+    """
+    suspects = blocks.filter("has_nul").select("file").distinct()
+    near = blocks.filter(F.col("ln_before") < K.BINARY_SNIFF_BYTES).join(suspects, "file", "left_semi")
+    joined = with_facts(segments.filter(F.col("blk") <= head_blk), near.select("file", "blk", "mid0", "ln_before", "bom"), n_blocks)
+    first = joined.filter(F.col("mid") - F.col("mid0") < K.BINARY_SNIFF_BYTES)
     above = Window.partitionBy("file").orderBy("blk", "mid").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.octet_length("raw") + 1).over(above), F.lit(0)) + F.when(F.col("bom"), 3).otherwise(0)
     # The first NUL decides; later ones lie behind it.
     at = F.instr(X.latin1_text("raw"), "\u0000")
     placed = first.withColumn("start", start).filter(F.col("start") < K.BINARY_SNIFF_BYTES)
-    return placed.groupBy("file").agg(
-        F.bool_or((at > 0) & (F.col("start") + at <= K.BINARY_SNIFF_BYTES)).alias("binary"))
+    return placed.filter((at > 0) & (F.col("start") + at <= K.BINARY_SNIFF_BYTES)).select("file").distinct()
