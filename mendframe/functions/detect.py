@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .messages import message, shown_delimiter
 from .rounding import fixed2
 from .text import _col, count_char, fields, is_blank, let, lines as text_lines, strip
 
@@ -178,13 +179,13 @@ def choose_delimiter(vote: Column, scores: Column, density: Column,
 
 
 def delimiter_message(choice: Column) -> Column:
-    d, method = choice.getField("delimiter"), choice.getField("method")
-    quoted = F.concat(F.lit("'"), F.replace(d, F.lit("\t"), F.lit("\\t")), F.lit("'"))
-    share = F.concat(F.format_number(choice.getField("euro_density") * 100, 1), F.lit("%"))
-    return F.when(
-        method == "euro-aware",
-        F.concat(F.lit("Detected delimiter: ';' (euro-aware: decimal comma density "), share, F.lit(").")),
-    ).otherwise(F.concat(F.lit("Detected delimiter: "), quoted, F.lit(" ("), method, F.lit(").")))
+    shown, method = shown_delimiter(choice.getField("delimiter")), choice.getField("method")
+    share = F.format_number(choice.getField("euro_density") * 100, 1)
+    return (
+        F.when(method == "euro-aware", message("delimiter_euro", share))
+        .when(method == "sniffer", message("delimiter_sniffer", shown))
+        .otherwise(message("delimiter_heuristic", shown))
+    )
 
 
 # --------------------------------------------------------------------------
@@ -340,28 +341,21 @@ def synthetic_header(lines: Column, delimiter, stripped: Column) -> Column:
 def header_messages(scored: Column, choice: Column, counts: Column, modal: Column) -> Column:
     """Ordered list of messages about the header decision."""
     ln, status = choice.getField("ln"), choice.getField("status")
-    number = lambda i: (i + 1).cast("string")
-    top3 = F.array_join(F.transform(
+    top = F.array_join(F.transform(
         F.slice(scored, 1, 3),
-        lambda s: F.concat(F.lit("line "), number(s.getField("ln")), F.lit(" score="), fixed2(s.getField("score"))),
+        lambda s: message("header_candidate", s.getField("ln") + 1, fixed2(s.getField("score"))),
     ), ", ")
-    all_messages = F.array(
-        F.when(preamble_heavy(counts), F.concat(
-            F.lit("Header detection: preamble-heavy file; using modal field count "), modal.cast("string"),
-            F.lit(" from multi-field lines."))),
-        F.concat(F.lit("Header candidates (top 3): "), top3),
-        F.when(choice.getField("tie_break"), F.concat(F.lit("Header chosen after tie-break: line "), number(ln))),
-        F.concat(F.lit("Header selected: line "), number(ln), F.lit(" (score="), fixed2(choice.getField("score")), F.lit(")")),
-        F.concat(F.lit("Header score gap: "), fixed2(choice.getField("gap"))),
-        F.concat(F.lit("Header modal field count: "), modal.cast("string")),
-        F.when(status == "too_deep", F.lit(
-            f"Header detection: candidate too deep (>{K.HEADER_MAX_PREAMBLE}); leaving file unchanged."))
-        .when(status == "unsure", F.lit("Header check: no preamble removed."))
-        .when(status == "stripped", F.concat(
-            F.lit("Header detected on line "), number(ln), F.lit("; removed "), ln.cast("string"),
-            F.lit(" preamble line(s).")))
-        .otherwise(F.lit("Header appears to be on the first line (no preamble removed).")),
+    steps = F.array(
+        F.when(preamble_heavy(counts), message("header_preamble_heavy", modal)),
+        message("header_candidates", top),
+        F.when(choice.getField("tie_break"), message("header_tie_break", ln + 1)),
+        message("header_selected", ln + 1, fixed2(choice.getField("score"))),
+        message("header_gap", fixed2(choice.getField("gap"))),
+        message("header_modal", modal),
+        F.when(status == "too_deep", message("header_too_deep", F.lit(K.HEADER_MAX_PREAMBLE)))
+        .when(status == "unsure", message("header_unsure"))
+        .when(status == "stripped", message("header_stripped", ln + 1, ln))
+        .otherwise(message("header_first_line")),
     )
-    found = F.filter(all_messages, lambda m: m.isNotNull())
-    return F.when(F.size(counts) == 0, F.array(
-        F.lit("Header detection: no parseable non-empty lines found."))).otherwise(found)
+    return F.when(F.size(counts) == 0, F.array(message("header_unparseable"))).otherwise(
+        F.filter(steps, lambda m: m.isNotNull()))

@@ -50,8 +50,8 @@ def is_ignorable_name(c) -> Column:
 # --- the same rules for the handful of names of a DataFrame schema ---------
 
 def snake_case_name(name: str) -> str:
-    words = re.sub(r"[^\w\s]", "", str(name).strip().lower())
-    return re.sub(r"[\s_]+", "_", words).strip("_") or "col"
+    kept = "".join(c for c in str(name).lower() if c.isalnum() or c == "_" or c.isspace())
+    return "_".join(filter(None, re.split(r"[\s_]+", kept))) or "col"
 
 
 def unique_name_list(names: Iterable[str]) -> list[str]:

@@ -7,87 +7,60 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.detect import delimiter_message
-
-
-def _n(c: str) -> Column:
-    return F.format_number(F.col(c), 0)
-
-
-def _plain(c: str) -> Column:
-    return F.col(c).cast("string")
-
-
-def _either(count: str, message: Column, otherwise: str) -> Column:
-    return F.when(F.col(count) > 0, message).otherwise(F.lit(otherwise))
+from ..functions.messages import counted, grouped, message, shown_delimiter
 
 
 def structural_messages() -> list[Column]:
+    multi_line = F.col("stitched_records") > 0
     return [
-        F.when(F.col("has_cr"), F.lit("Normalized line endings (fixed Windows/Mac-style newlines).")),
-        F.when(F.col("encoding") == "utf-8", F.lit("Detected encoding: utf-8.")).otherwise(F.concat(
-            F.lit("Detected encoding: "), "encoding", F.lit(". Converted to UTF-8 for output compatibility."))),
-        _either("stitched_records", F.concat(
-            F.lit("Quote stitching: merged "), _plain("physical_lines"), F.lit(" physical lines into "), _plain("logical_lines"),
-            F.lit(" logical rows (records stitched: "), _plain("stitched_records"), F.lit(", max lines/record: "),
-            _plain("max_physical_per_record"), F.lit(").")), "Quote stitching: no multi-line quoted records detected."),
-        _either("stitched_records", F.concat(F.lit("Fixed "), _plain("stitched_records"), F.lit(" multiline quoted record(s).")),
-                "Quote stitching check: no multiline quoted records found."),
-        F.when(F.col("synthetic").isNotNull(), F.lit("Header missing: generated a synthetic header row (col_1, col_2, …).")),
+        F.when(F.col("has_cr"), message("newlines")),
+        F.when(F.col("encoding") == "utf-8", message("encoding_utf8")).otherwise(message("encoding_other", "encoding")),
+        F.when(multi_line, message("stitch_merged", "physical_lines", "logical_lines", "stitched_records", "max_physical_per_record"))
+        .otherwise(message("stitch_none")),
+        F.when(multi_line, message("stitch_fixed", "stitched_records")).otherwise(message("stitch_check")),
+        F.when(F.col("synthetic").isNotNull(), message("synthetic")),
     ]
 
 
 def import_messages() -> list[Column]:
+    long, short = F.col("too_long") > 0, F.col("too_short") > 0
     return [
-        F.when(F.col("too_long") > 0, F.concat(F.lit("Fixed "), _n("too_long"), F.lit(" rows with extra columns (import repair)."))),
-        F.when(F.col("too_short") > 0, F.concat(F.lit("Fixed "), _n("too_short"), F.lit(" rows with missing columns (import repair)."))),
-        F.when((F.col("too_long") == 0) & (F.col("too_short") == 0), F.lit("Row structure was consistent (no import repairs needed).")),
+        F.when(long, message("import_too_long", grouped("too_long"))),
+        F.when(short, message("import_too_short", grouped("too_short"))),
+        F.when(~long & ~short, message("import_consistent")),
     ]
 
 
 def cleaning_messages(normalize_numbers: bool) -> list[Column]:
-    out = [
-        F.when(F.col("header") != F.col("raw_header"), F.lit("Normalized column names (consistent and import-friendly).")),
-        F.when(F.col("width") == 0, F.lit("No text columns found for whitespace cleanup.")).otherwise(_either(
-            "trimmed", F.concat(F.lit("Trimmed whitespace in "), _n("trimmed"), F.lit(" text cells (prevents grouping/matching issues).")),
-            "No whitespace issues found in text cells.")),
-        _either("empty_rows", F.concat(F.lit("Removed "), _n("empty_rows"), F.lit(" fully empty rows.")), "No fully empty rows found."),
-        _either("duplicate_rows", F.concat(F.lit("Removed "), _n("duplicate_rows"), F.lit(" duplicate rows (exact matches).")),
-                "No exact duplicate rows found."),
+    steps = [
+        F.when(F.col("header") != F.col("raw_header"), message("names")),
+        F.when(F.col("width") == 0, message("trim_no_columns")).otherwise(counted("trimmed", "trim_changed", "trim_none")),
+        counted("empty_rows", "empty_removed", "empty_none"),
+        counted("duplicate_rows", "duplicates_removed", "duplicates_none"),
     ]
     if normalize_numbers:
         converted = F.size("numeric")
-        out.append(F.when(converted > 0, F.concat(
-            F.lit("Normalized numeric formats in "), converted.cast("string"),
-            F.lit(" column(s) (EU/US separators, parentheses negatives).")))
-            .otherwise(F.lit("Numeric normalization: no eligible numeric columns detected.")))
-    return out
+        steps.append(F.when(converted > 0, message("numbers_converted", converted)).otherwise(message("numbers_none")))
+    return steps
 
 
 def near_duplicate_messages(mode: str) -> list[Column]:
     if not mode:
         return []
-    removed = F.concat(F.lit("Removed "), _n("near_dupes"), F.lit(" near-duplicate rows."))
-    preview = F.concat(F.lit("Dry run: "), _n("near_dupes"), F.lit(" near-duplicate rows would be removed."))
     names = F.filter(F.transform("header", lambda h, i: F.when(F.get("ignored", i), h)), lambda h: h.isNotNull())
     listed = F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(F.lit("(none)"))
     return [
-        F.when(F.col("near_dupes") == 0, F.lit("No near-duplicate rows found (using the near-duplicate rules)."))
-        .otherwise(removed if mode == "remove" else preview),
-        F.concat(F.lit("Near-duplicate rule: compare all columns except "), listed, F.lit(".")),
+        counted("near_dupes", "near_removed" if mode == "remove" else "near_preview", "near_none"),
+        message("near_rule", listed),
     ]
 
 
-def output_message() -> Column:
-    quoted = F.concat(F.lit("'"), F.replace("delimiter", F.lit("\t"), F.lit("\\t")), F.lit("'"))
-    return F.concat(F.lit("Wrote output as UTF-8 with standard newlines using delimiter "), quoted, F.lit("."))
-
-
 def with_changelog(df: DataFrame, normalize_numbers: bool, near_dupes: str, wrote_output: bool = True) -> DataFrame:
     """Add ``changelog``, ``repairs`` and ``checks`` (lists) and ``header_debug_log``."""
     user = F.filter("header_log", lambda m: ~L.is_header_debug(m))
     parts = [F.array(*structural_messages(), delimiter_message(F.col("choice"))), user,
              F.array(*import_messages(), *cleaning_messages(normalize_numbers), *near_duplicate_messages(near_dupes),
-                     *([output_message()] if wrote_output else []))]
+                     *([message("output", shown_delimiter("delimiter"))] if wrote_output else []))]
     logged = df.withColumn("changelog", F.filter(F.concat(*parts), lambda m: m.isNotNull()))
     return logged.withColumns({
         "header_debug_log": F.filter("header_log", L.is_header_debug),

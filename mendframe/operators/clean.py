@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +85,3 @@ def clean_table(df: DataFrame, order_by: str, blank_is_empty: bool = True) -> Da
     named = normalize_names(df, order_by)
     full = drop_empty_rows(trim_cells(named, order_by), order_by, blank_is_empty)
     return drop_exact_duplicates(full, order_by)
-
-
-def select_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select([quoted(c) for c in columns])

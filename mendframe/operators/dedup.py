@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -118,7 +118,9 @@ def comparison_rows(examples: DataFrame, mode: str = "remove") -> DataFrame:
     """Each example as two rows with a ``status`` column."""
     label = "Would remove" if mode == "preview" else "Removed"
     cols = examples.schema["kept"].dataType.names
-    numbered = examples.withColumn("example", F.row_number().over(_example_order(cols)).cast("bigint"))
+    # The input is a handful of example pairs, so one partition is right.
+    order = Window.partitionBy(F.lit(1)).orderBy("kept", "removed")
+    numbered = examples.withColumn("example", F.row_number().over(order).cast("bigint"))
 
     def side(status: str, part: str):
         return F.struct(F.lit(status).alias("status"), *[F.col(f"{part}.`{c}`").alias(c) for c in cols])
@@ -126,13 +128,6 @@ def comparison_rows(examples: DataFrame, mode: str = "remove") -> DataFrame:
     return numbered.select("example", F.inline(F.array(side("Kept", "kept"), side(label, "removed"))))
 
 
-def _example_order(cols):
-    from pyspark.sql import Window
-
-    # The input holds a handful of example pairs, so one partition is right.
-    return Window.partitionBy(F.lit(1)).orderBy(F.col("kept"), F.col("removed"))
-
-
 def group_occurrences(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:
     """(kept_id, row_id, n): every row with the first row of its group.
 

@@ -5,7 +5,6 @@ import io
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from mendframe.plans.repair import Limits, repair
 from mendframe.sources import files as S

@@ -3,9 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from mendframe.operators import events as V
 from mendframe.streaming.arrivals import repair_arrivals
