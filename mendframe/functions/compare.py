@@ -17,12 +17,16 @@ def compare_text(c) -> Column:
 
 
 def compare_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """Per column: folded text for strings, the value itself otherwise."""
+    """Per column: folded text for strings, the value itself otherwise (-0.0 as 0.0)."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return [
-        compare_text(F.col(f"`{c}`")) if isinstance(types[c], T.StringType) else F.col(f"`{c}`")
-        for c in columns
-    ]
+
+    def key(name: str) -> Column:
+        col = F.col(f"`{name}`")
+        if isinstance(types[name], T.StringType):
+            return compare_text(col)
+        return col + 0.0 if isinstance(types[name], (T.DoubleType, T.FloatType)) else col
+
+    return [key(c) for c in columns]
 
 
 def row_digest(keys: Sequence[Column]) -> Column:

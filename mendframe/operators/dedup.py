@@ -23,6 +23,9 @@ from .clean import data_columns, quoted
 # (1,000 digests of 32 bytes), and a group outside them holds under N/1,000 rows.
 HOT_GROUPS = 1000
 
+# Up to this many row ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 500_000
+
 
 def drop_exact_duplicates(df: DataFrame, order_by: str) -> DataFrame:
     """Rows that differ in some data column; one hash aggregate, no window."""
@@ -52,20 +55,39 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("row_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
 
 
-def _kept_ids(df: DataFrame, order_by: str, rows: DataFrame) -> DataFrame:
-    return duplicate_groups(rows).select(F.col("kept_id").alias(order_by)).hint("shuffle_hash")
+def near_duplicate_ids(rows: DataFrame, groups: DataFrame) -> tuple[bool, DataFrame]:
+    """(few, ids): the row ids to drop when they are few, else the ids to keep.
 
+    ``groups`` must be a written table.  The number of duplicates is counted
+    first: up to ``BROADCAST_IDS`` of them are found and broadcast, so the wide
+    rows are never shuffled.  Otherwise the kept ids are hash-joined by id,
+    which is unique and cannot skew.
+    """
+    extra = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
+    if extra > BROADCAST_IDS:
+        return False, groups.select(F.col("kept_id").alias("row_id"))
+    repeated = groups.filter("n > 1").select("key", "kept_id")  # no more groups than duplicates
+    dropped = rows.join(F.broadcast(repeated), "key").filter(F.col("row_id") != F.col("kept_id"))
+    return True, dropped.select("row_id")
 
-def mark_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:
-    """Add ``is_near_dup``: true for all but the first row of each group.
 
-    The mask is joined back by the unique ordering column, which cannot skew.
-    """
+def _written(df: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys (40 bytes per row) and groups as written tables: several steps read them."""
+    ws = Workspace(df.sparkSession)
+    rows = ws.save(rows, "near_keys")
+    return rows, ws.save(duplicate_groups(rows), "near_groups")
+
+
+def mark_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:
+    """Add ``is_near_dup``: true for all but the first row of each group."""
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         return df.withColumn("is_near_dup", F.lit(False))
-    kept = _kept_ids(df, order_by, rows).withColumn("_kept", F.lit(True))
-    marked = df.join(kept, order_by, "left").withColumn("is_near_dup", F.col("_kept").isNull())
+    few, ids = near_duplicate_ids(*_written(df, rows))
+    found = ids.select(F.col("row_id").alias(order_by), F.lit(True).alias("_found"))
+    found = F.broadcast(found) if few else found.hint("shuffle_hash")
+    hit = F.col("_found").isNotNull()
+    marked = df.join(found, order_by, "left").withColumn("is_near_dup", hit if few else ~hit)
     return marked.select([quoted(c) for c in df.columns] + ["is_near_dup"])
 
 
@@ -73,7 +95,10 @@ def drop_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[st
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         return df
-    return df.join(_kept_ids(df, order_by, rows), order_by, "left_semi").select([quoted(c) for c in df.columns])
+    few, ids = near_duplicate_ids(*_written(df, rows))
+    found = ids.withColumnRenamed("row_id", order_by)
+    found = F.broadcast(found) if few else found.hint("shuffle_hash")
+    return df.join(found, order_by, "left_anti" if few else "left_semi").select([quoted(c) for c in df.columns])
 
 
 def count_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:
@@ -95,8 +120,8 @@ def near_duplicate_examples(df: DataFrame, order_by: str, limit: int = K.NEAR_DU
     row = F.struct(*[quoted(c) for c in df.columns])
     if rows is None:
         return df.limit(0).select(row.alias("kept"), row.alias("removed"))
-    rows = Workspace(df.sparkSession).save(rows, "near_keys")
-    first = duplicate_groups(rows).filter("n > 1").orderBy("kept_id").limit(limit)
+    rows, groups = _written(df, rows)
+    first = groups.filter("n > 1").orderBy("kept_id").limit(limit)
     pairs = (
         rows.join(F.broadcast(first), "key")
         .filter(F.col("row_id") != F.col("kept_id"))
@@ -138,9 +163,7 @@ def group_occurrences(df: DataFrame, order_by: str, compare_cols: Sequence[str]
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         raise ValueError("no columns to compare")
-    ws = Workspace(df.sparkSession)
-    rows = ws.save(rows, "near_keys")
-    groups = ws.save(duplicate_groups(rows), "near_groups")
+    rows, groups = _written(df, rows)
     hot = groups.orderBy(F.desc("n"), "key").limit(HOT_GROUPS)
     in_hot = rows.join(F.broadcast(hot), "key")
     cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(groups, "key")

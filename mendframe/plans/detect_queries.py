@@ -157,6 +157,12 @@ def _kinded(spark, sf):
     return _sampled(spark, sf).withColumn("delimiter", d)
 
 
+def _micro(c):
+    """Six decimals by the same double arithmetic as the SQL twin."""
+    x = F.col(c)
+    return F.when(x == float("inf"), x).otherwise(F.floor(x * 1000000 + 0.5) / F.lit(1000000.0))
+
+
 def _headed(spark, sf):
     return P.with_header(_kinded(spark, sf))
 
@@ -178,10 +184,10 @@ def header_candidates(spark, sf):
     return c.select("doc_id", F.col("ln").cast("bigint").alias("ln"))
 
 
-@query("header_scores", f"""{_SCORED} SELECT doc_id, ln::BIGINT AS ln, round(score, 6) AS score FROM scored""")
+@query("header_scores", f"""{_SCORED} SELECT doc_id, ln::BIGINT AS ln, floor(score * 1000000 + 0.5::DOUBLE) / 1000000 AS score FROM scored""")
 def header_scores(spark, sf):
     s = P.unnest(_headed(spark, sf), F.col("scored"), "s", keep=["doc_id"])
-    return s.select("doc_id", F.col("s.ln").cast("bigint").alias("ln"), F.round("s.score", 6).alias("score"))
+    return s.select("doc_id", F.col("s.ln").cast("bigint").alias("ln"), _micro("s.score").alias("score"))
 
 
 @query("top_header_candidates", f"""{_HEADER} SELECT doc_id, r, ln::BIGINT AS ln FROM ranked WHERE r <= 3""")
@@ -190,11 +196,11 @@ def top_header_candidates(spark, sf):
     return s.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("r"), F.col("s.ln").cast("bigint").alias("ln"))
 
 
-@query("header_choice", f"""{_HEADER} SELECT doc_id, ln::BIGINT AS ln, tie, status, round(score, 4) AS score, round(fgap, 4) AS gap FROM header""")
+@query("header_choice", f"""{_HEADER} SELECT doc_id, ln::BIGINT AS ln, tie, status, floor(score * 1000000 + 0.5::DOUBLE) / 1000000 AS score, floor(fgap * 1000000 + 0.5::DOUBLE) / 1000000 AS gap FROM header""")
 def header_choice(spark, sf):
     h = _headed(spark, sf).select("doc_id", "header.*")
     return h.select("doc_id", F.col("ln").cast("bigint").alias("ln"), F.col("tie_break").alias("tie"), "status",
-                    F.round("score", 4).alias("score"), F.round("gap", 4).alias("gap"))
+                    _micro("score").alias("score"), _micro("gap").alias("gap"))
 
 
 @query("strip_preamble", f"""{_HEADER} SELECT doc_id, lines.ln::BIGINT AS ln, line FROM lines LEFT JOIN header USING (doc_id)

@@ -29,6 +29,10 @@ from ..sources.admission import admission_verdict
 from ..sources.workspace import Workspace
 
 
+# Up to this many (file, row id) pairs, some 150 bytes each, are broadcast.
+BROADCAST_IDS = 100_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Admission limits; None switches a limit off.
@@ -202,7 +206,7 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     dupes = None
     if near_dupes:
         flagged = S.with_file_facts(data, headers.select("file", "ignored"), n_files)
-        keys = C.near_duplicate_keys(flagged)
+        keys = ws.save(C.near_duplicate_keys(flagged), "near_keys")
         groups = ws.save(C.near_duplicate_groups(keys), "near_groups")
         dupes = groups.groupBy("file").agg(F.sum(F.col("n") - 1).alias("near_dupes"))
         pairs = ws.save(C.near_duplicate_pairs(keys, groups, n_files), "near_pairs")
@@ -212,11 +216,19 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
             F.broadcast(kept_rows) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else kept_rows, ["file", "removed_id"])
         examples = examples.select("file", "kept_id", "removed_id", "kept", "removed")
         if near_dupes == "remove":
-            first_ids = groups.select("file", F.col("kept_id").alias("_row_id"))
-            # Files in which every column is ignored keep all rows.
-            uncompared = headers.filter(~F.exists("ignored", lambda x: ~x)).select("file")
-            compared_rows = data.join(first_ids.hint("shuffle_hash"), ["file", "_row_id"], "left_semi")
-            data = compared_rows if uncompared.isEmpty() else compared_rows.unionByName(data.join(uncompared, "file", "left_semi"))
+            extra = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
+            if extra <= BROADCAST_IDS:
+                # Few duplicates: the wide rows are not shuffled.
+                repeated = groups.filter("n > 1").select("key", "kept_id")
+                dropped = keys.join(F.broadcast(repeated), "key").filter(F.col("_row_id") != F.col("kept_id"))
+                data = data.join(F.broadcast(dropped.select("file", "_row_id")), ["file", "_row_id"], "left_anti")
+            else:
+                # Kept ids, and all rows of files in which every column is ignored.
+                kept_ids = groups.select("file", F.col("kept_id").alias("_row_id"))
+                uncompared = headers.filter(~F.exists("ignored", lambda x: ~x)).select("file")
+                whole = data.join(uncompared, "file", "left_semi")
+                data = data.join(kept_ids.hint("shuffle_hash"), ["file", "_row_id"], "left_semi")
+                data = data if uncompared.isEmpty() else data.unionByName(whole)
 
     # 9. Report.
     report = (

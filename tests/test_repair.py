@@ -103,7 +103,9 @@ NEAR = ("id,date,name,amount,balance\n1,2024-01-01,Acme  Inc,5,10\n2,2024-01-02,
         "1,2024-01-01,Acme  Inc,5,10\n3,2024-01-03,Beta,7,30\n")
 
 
-def test_near_duplicates(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_near_duplicates(spark, tmp_path, monkeypatch, broadcast_ids):
+    monkeypatch.setattr("mendframe.plans.repair.BROADCAST_IDS", broadcast_ids)
     path = write(tmp_path, near_csv=NEAR, other_csv=NEAR, ids_csv="id,user_id\n1,1\n2,2\n")
     result = repair(spark, path, near_dupes="remove")
     rows = by_name(result)

@@ -45,8 +45,10 @@ def test_nothing_to_compare(spark):
     assert not any(r["is_near_dup"] for r in D.mark_near_duplicates(df, "_row_id").collect())
 
 
-def test_groups_with_a_hot_key(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_groups_with_a_hot_key(spark, monkeypatch, broadcast_ids):
     monkeypatch.setattr(D, "HOT_GROUPS", 2)
+    monkeypatch.setattr(D, "BROADCAST_IDS", broadcast_ids)
     rng = random.Random(4)
     data = [(i, "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}", None if rng.random() < 0.1 else rng.randrange(2)) for i in range(800)]
     df = spark.createDataFrame(data, "_row_id long, name string, n int")
@@ -57,7 +59,9 @@ def test_groups_with_a_hot_key(spark, monkeypatch):
     got = sorted((r.kept_id, r.row_id, r.n) for r in D.group_occurrences(df, "_row_id").collect())
     assert got == expect
     assert D.count_near_duplicates(df, "_row_id").first()[0] == 800 - len(want)
-    assert ids(D.drop_near_duplicates(df, "_row_id")) == sorted(g[0] for g in want.values())
+    kept = sorted(g[0] for g in want.values())
+    assert ids(D.drop_near_duplicates(df, "_row_id")) == kept
+    assert ids(D.mark_near_duplicates(df, "_row_id").filter("NOT is_near_dup")) == kept
 
 
 @pytest.mark.parametrize("cells,eligible", [
@@ -116,5 +120,7 @@ def test_core_plans_stay_in_the_jvm(spark, sf, name):
     plan = QUERIES[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
     for node in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
+    if name.startswith("near_dup"):
+        assert "Exchange hashpartitioning" not in plan  # few duplicates: wide rows stay in place
     if name in ("stitch_records", "tokenize_records", "lenient_parse", "delimiter_choice", "header_choice", "strip_preamble"):
         assert "Exchange" not in plan
