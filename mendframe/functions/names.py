@@ -14,9 +14,9 @@ from .text import _col, strip
 
 def snake_case(c) -> Column:
     """Import-friendly form of a name held in a column."""
-    kept = F.regexp_replace(F.lower(strip(c)), r"(?U)[^\p{L}\p{N}_\s\x{1c}-\x{1f}]", "")
+    kept = F.regexp_replace(F.lower(_col(c)), r"(?U)[^\p{L}\p{N}_\s\x{1c}-\x{1f}]", "")
     joined = F.regexp_replace(kept, r"(?U)[\s\x{1c}-\x{1f}_]+", "_")
-    return F.coalesce(F.nullif(F.btrim(joined, F.lit("_")), F.lit("")), F.lit("col"))
+    return F.regexp_replace(F.btrim(joined, F.lit("_")), r"\A\z", "col")
 
 
 def snake_names(names: Column) -> Column:

@@ -111,11 +111,13 @@ def newlines_changed(c) -> Column:
     return F.contains(_col(c), F.lit("\r"))
 
 
+def _without_empty_tail(parts: Column) -> Column:
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == F.lit(""), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
+
 def lines(c) -> Column:
     """Lines of a text; a final newline does not open another line."""
-    parts = F.split(_col(c), "\n")
-    last_empty = F.element_at(parts, -1) == F.lit("")
-    return F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return _without_empty_tail(F.split(_col(c), "\n"))
 
 
 def count_char(c, ch) -> Column:
@@ -139,14 +141,13 @@ def parity_records(c) -> Column:
 
 def stitch_stats(c) -> Column:
     """physical_lines, logical_lines, stitched_records, max_physical_per_record."""
-    recs = parity_records(c)
-    phys = F.transform(recs, lambda r: count_char(r, "\n") + 1)
-    return F.struct(
-        (count_char(c, "\n") + 1).cast("bigint").alias("physical_lines"),
-        F.size(recs).cast("bigint").alias("logical_lines"),
-        F.size(F.filter(phys, lambda n: n > 1)).cast("bigint").alias("stitched_records"),
-        F.array_max(phys).cast("bigint").alias("max_physical_per_record"),
-    )
+    phys = F.transform(parity_records(c), lambda r: count_char(r, "\n") + 1)
+    return let(phys, lambda p: F.struct(
+        F.aggregate(p, F.lit(0).cast("bigint"), lambda a, n: a + n).alias("physical_lines"),
+        F.size(p).cast("bigint").alias("logical_lines"),
+        F.size(F.filter(p, lambda n: n > 1)).cast("bigint").alias("stitched_records"),
+        F.array_max(p).cast("bigint").alias("max_physical_per_record"),
+    ))
 
 
 def _escaped(delimiter) -> Column:
@@ -169,8 +170,7 @@ def csv_records(c, delimiter) -> Column:
     """
     d, field = _escaped(delimiter), _field_pattern(delimiter, "\\n")
     pattern = F.concat(F.lit("\\n("), field, F.lit("(?:"), d, field, F.lit(")*+)"))
-    recs = F.regexp_extract_all(F.concat(F.lit("\n"), _col(c)), pattern, F.lit(1))
-    return F.when(F.element_at(recs, -1) == F.lit(""), F.slice(recs, 1, F.size(recs) - 1)).otherwise(recs)
+    return _without_empty_tail(F.regexp_extract_all(F.concat(F.lit("\n"), _col(c)), pattern, F.lit(1)))
 
 
 # --------------------------------------------------------------------------
