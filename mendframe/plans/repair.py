@@ -111,12 +111,14 @@ class RepairResult:
 def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | None = None,
            normalize_numbers: bool = False, limits: Limits = Limits(), strict_compat: bool = False,
            blank_is_empty: bool | None = None, respect_selected_header: bool | None = None,
-           work_dir: str | None = None) -> RepairResult:
+           any_line_end: bool = False, work_dir: str | None = None) -> RepairResult:
     """Repair and clean delimited text files.
 
     near_dupes: None, 'preview' (count only) or 'remove'.  strict_compat keeps
     blank rows that are only padded and adds generated headers even when the
     first line was picked as header; both can be set on their own.
+    any_line_end reads files that have only CR line ends in parallel, without
+    the line-end and BOM facts.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if near_dupes not in (None, "preview", "remove"):
@@ -130,11 +132,11 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
         "reason", admission_verdict(name="name", n_bytes="n_bytes", max_bytes=limits.max_bytes)), "listed")
 
     # 2. Raw segments, written once.
-    segments = S.without_files(S.read_segments(spark, paths), listed.filter("reason IS NOT NULL"))
+    segments = S.without_files(S.read_segments(spark, paths, any_line_end), listed.filter("reason IS NOT NULL"))
     bronze = ws.save(segments, "bronze")
     blocks = S.number_blocks(S.block_facts(bronze))
     blocks = ws.save(blocks, "blocks")
-    files = ws.save(S.file_facts(blocks), "files")
+    files = ws.save(S.file_facts(blocks, exact=not any_line_end), "files")
     facts = blocks.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("inner_cr"), F.lit(False)).alias("inner_cr"),
         F.coalesce(F.bool_or("has_quote"), F.lit(False)).alias("quote"),

@@ -45,9 +45,14 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return listed.withColumn("name", F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))))
 
 
-def read_segments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, file_bytes, blk, mid, raw): the LF-separated segments as bytes."""
-    text = spark.read.option("lineSep", "\n").text(list(paths))
+def read_segments(spark: SparkSession, paths: Sequence[str], any_line_end: bool = False) -> DataFrame:
+    """(file, file_bytes, blk, mid, raw): the LF-separated segments as bytes.
+
+    ``any_line_end`` also cuts at CR and CRLF, which are then not kept; for
+    large files whose only line ends are CRs.
+    """
+    reader = spark.read if any_line_end else spark.read.option("lineSep", "\n")
+    text = reader.text(list(paths))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("file_bytes"),
@@ -80,11 +85,12 @@ def block_facts(segments: DataFrame) -> DataFrame:
     )
 
 
-def file_facts(blocks: DataFrame) -> DataFrame:
+def file_facts(blocks: DataFrame, exact: bool = True) -> DataFrame:
     """(file, encoding, bom, has_cr, ends_nl, n_lines, has_quote) from the blocks.
 
     Segments count their bytes plus one LF each; against the file size that
-    leaves 0 or -1 (final LF or not), plus 3 for a BOM.
+    leaves 0 or -1 (final LF or not), plus 3 for a BOM.  Without ``exact``
+    segments (``any_line_end``) neither is known: no BOM, a final newline.
     """
     rest = F.any_value("file_bytes") - F.sum("n_bytes")
     whole = blocks.groupBy("file").agg(
@@ -92,10 +98,10 @@ def file_facts(blocks: DataFrame) -> DataFrame:
         F.bool_or("has_quote").alias("has_quote"), F.bool_and("valid").alias("valid"),
         F.bool_or("undefined").alias("undefined"), F.max_by("last_cr", "blk").alias("last_cr"),
     )
-    bom = F.col("rest") >= 2
+    bom = F.col("rest") >= 2 if exact else F.lit(False)
+    ends_nl = F.col("rest").isin(0, 3) | F.col("last_cr") if exact else F.lit(True)
     return whole.select(
-        "file", "n_lines", "has_cr", "has_quote", bom.alias("bom"),
-        (F.col("rest").isin(0, 3) | F.col("last_cr")).alias("ends_nl"),
+        "file", "n_lines", "has_cr", "has_quote", bom.alias("bom"), ends_nl.alias("ends_nl"),
         X.encoding_label("valid", "undefined", bom).alias("encoding"),
     )
 

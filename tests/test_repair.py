@@ -196,3 +196,13 @@ def test_blocks_match_csv_reader(spark, tmp_path, small_splits):
         if cur:
             logical, longest = logical + 1, max(longest, cur)
         assert (r["physical_lines"], r["logical_lines"], r["max_physical_per_record"]) == (text.count("\n") + 1, logical, longest)
+
+
+def test_cr_only_files_in_splits(spark, tmp_path, small_splits):
+    (tmp_path / "mac.csv").write_bytes(b"row_id,full_name\r" + b"".join(b"%d,name %d\r" % (i, i) for i in range(300)))
+    (tmp_path / "dos.csv").write_bytes(b"row_id,full_name\r\n" + b"".join(b'%d,"a\r\nb%d"\r\n' % (i, i) for i in range(100)))
+    result = repair(spark, str(tmp_path), any_line_end=True)
+    assert result.bronze.filter("file LIKE '%mac.csv'").select("blk").distinct().count() > 1
+    rows = by_name(result)
+    assert rows["mac.csv"] == [[str(i), f"name {i}"] for i in range(300)]
+    assert rows["dos.csv"] == [[str(i), f"a\nb{i}"] for i in range(100)]
