@@ -146,7 +146,7 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
 
     # 3. Profile: one row per file.
     coded = blocks.join(files.select("file", "encoding", "bom", "ends_nl"), "file")
-    head = S.heads(bronze, coded, n_blocks, any_inner_cr, head_blk)
+    head = S.heads(bronze, coded, n_blocks, any_inner_cr, head_blk, ws)
     if facts["nul"]:
         nul = S.binary_files(bronze, coded, n_blocks, head_blk).withColumn("binary", F.lit(True))
         head = head.join(nul, "file", "left").withColumn("binary", F.coalesce("binary", F.lit(False)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..functions.detect import sample_lines
+from .workspace import Workspace
 
 # Fact tables up to this many rows (some 300 bytes each) are broadcast;
 # larger ones are joined by a shuffle on (file, block).
@@ -183,24 +184,39 @@ def lines(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: b
         .filter(F.contains("text", F.lit('"')) if quoted_only else F.lit(True)).select(out))
 
 
-def heads(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool, head_blk: int) -> DataFrame:
+def _gathered(first_lines: DataFrame) -> DataFrame:
+    """(file, texts): the lines of each file in order; bounded by the caller."""
+    listed = first_lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ln", "text"))).alias("_l"))
+    return listed.select("file", F.transform("_l", lambda r: r.getField("text")).alias("texts"))
+
+
+def heads(segments: DataFrame, blocks: DataFrame, n_blocks: int, any_inner_cr: bool, head_blk: int, ws: Workspace) -> DataFrame:
     """(file, head_lines, sample_lines): the first lines of each file.
 
-    Reads only blocks that start within the detection window (``head_blk``
-    lets the scan skip the others); what is gathered per file is bounded by
-    the window.
+    The first 60 lines nearly always hold the whole detection sample.  Only
+    files in which they do not (mostly blank lines) are read further, up to
+    the sample's 16,384 characters.  ``head_blk`` is the last block any of
+    this can reach, so the scan skips the others.
     """
-    near = blocks.filter(F.col("ln_before") < K.SAMPLE_CHARS)
     scan = segments.filter(F.col("blk") <= head_blk)
+    top = lines(scan, blocks.filter(F.col("ln_before") < K.HEADER_SCAN_LINES), n_blocks, any_inner_cr)
+    short = _gathered(top.filter(F.col("ln") < K.HEADER_SCAN_LINES)).withColumn("_text", F.array_join("texts", "\n"))
+    sampled = short.withColumn("sample_lines", sample_lines("_text")).select(
+        "file", F.col("texts").alias("head_lines"), "sample_lines",
+        ((F.size("texts") == K.HEADER_SCAN_LINES) & (F.size("sample_lines") < K.SAMPLE_LINES)
+         & (F.length("_text") < K.SAMPLE_CHARS)).alias("deep"))
+    sampled = ws.save(sampled, "heads")
+    deep = sampled.filter("deep").select("file")
+    if deep.isEmpty():
+        return sampled.drop("deep")
+    near = blocks.filter(F.col("ln_before") < K.SAMPLE_CHARS).join(deep, "file", "left_semi")
     first = lines(scan, near, n_blocks, any_inner_cr).filter(F.col("ln") < K.SAMPLE_CHARS)
     above = Window.partitionBy("file").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     placed = first.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(above), F.lit(0)))
-    kept = placed.filter((F.col("ln") < K.HEADER_SCAN_LINES) | (F.col("start") < K.SAMPLE_CHARS))
-    gathered = kept.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("ln", "text"))).alias("_l"))
-    texts = F.transform("_l", lambda r: r.getField("text"))
-    return gathered.select("file", texts.alias("_t")).select(
-        "file", F.slice("_t", 1, K.HEADER_SCAN_LINES).alias("head_lines"),
-        sample_lines(F.array_join("_t", "\n")).alias("sample_lines"))
+    longer = _gathered(placed.filter(F.col("start") < K.SAMPLE_CHARS)).select(
+        "file", sample_lines(F.array_join("texts", "\n")).alias("longer"))
+    return sampled.join(longer, "file", "left").select(
+        "file", "head_lines", F.coalesce("longer", "sample_lines").alias("sample_lines"))
 
 
 def binary_files(segments: DataFrame, blocks: DataFrame, n_blocks: int, head_blk: int) -> DataFrame:

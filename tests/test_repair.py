@@ -206,3 +206,22 @@ def test_cr_only_files_in_splits(spark, tmp_path, small_splits):
     rows = by_name(result)
     assert rows["mac.csv"] == [[str(i), f"name {i}"] for i in range(300)]
     assert rows["dos.csv"] == [[str(i), f"a\nb{i}"] for i in range(100)]
+
+
+def test_file_profile_equals_text_profile(spark, tmp_path):
+    """Heads of files give the profile of the whole text, also far below line 60."""
+    from mendframe.operators.profile import profile
+
+    texts = {
+        "deep.csv": "id;name\n" + "\n" * 80 + "x,y\n" * 200,
+        "deeper.csv": "id;name\n" + "\n" * 17000 + "x,y\n" * 200,
+        "wide.csv": "k,v\n" + ("a" * 20000 + ",b\n") * 3,
+        "plain.csv": "some_id|some_name\n" + "1|x\n" * 100,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = reports(repair(spark, str(tmp_path)))
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    for r in profile(df).collect():
+        assert (got[r["name"]]["delimiter"], got[r["name"]]["modal"], got[r["name"]]["header_ln"]) == (r["delimiter"], r["modal"], r["header_ln"])
+    assert got["deep.csv"]["delimiter"] == "," and got["deeper.csv"]["delimiter"] == ";"
