@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.plans.registry import table
 from mendframe.sources.workspace import Workspace
 
-from . import masked_lm, packing, rank_order, slots
+from . import masked_lm, packing, private_data, quality_rules, rank_order, secret_scan, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,21 @@ def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+@query("op3_weak_supervision")
+def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find(table(spark, sf_dir, "documents"), Workspace(spark)).drop("found")
+
+
+@query("op5_decision_list")
+def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
+@query("op6_markov_secrets")
+def markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf_dir, "documents"), Workspace(spark)).drop("found")
+
+
 @query("op8_bin_slack")
 def bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark))
