@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.plans.registry import table
 from mendframe.sources.workspace import Workspace
 
-from . import masked_lm, packing, private_data, quality_rules, rank_order, secret_scan, slots
+from . import masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,11 +33,23 @@ def virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
+@query("op2_quote_links")
+def quote_links_of_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as mails that quote the two turns before them, linked by the quotes alone."""
+    mails = quote_links.as_mails(table(spark, sf_dir, "conversations"))
+    return quote_links.conversations(mails, Workspace(spark))
+
+
 @query("op3_weak_supervision")
 def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find(table(spark, sf_dir, "documents"), Workspace(spark)).drop("found")
 
 
+@query("op4_similarity_sketch")
+def similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.components_of(table(spark, sf_dir, "documents"), 2, Workspace(spark)).drop("key")
+
+
 @query("op5_decision_list")
 def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
@@ -48,6 +60,11 @@ def markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents"), Workspace(spark)).drop("found")
 
 
+@query("op7_winnowing")
+def winnowed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark)).drop("key")
+
+
 @query("op8_bin_slack")
 def bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark))
