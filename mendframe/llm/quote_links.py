@@ -110,7 +110,7 @@ def conversations(messages: DataFrame, work: Workspace) -> DataFrame:
     for task in range(max(tasks, default=-1) + 1):
         starts.append(total)
         total += tasks.get(task, 0)
-    offset = F.get(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.shiftright("at", 33).cast("int"))
+    offset = F.get(F.split(F.lit(",".join(map(str, starts or [0]))), ",").cast("array<bigint>"), F.shiftright("at", 33).cast("int"))
     indexed = placed.withColumn("index", offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     low = work.save(indexed.groupBy("conversation_id").agg(F.min("index").alias("low")).withColumnRenamed("conversation_id", "l_id"), "first_places")
     return indexed.join(low, F.col("conversation_id").eqNullSafe(F.col("l_id"))).select(
