@@ -29,6 +29,24 @@ def compare_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return [key(c) for c in columns]
 
 
+def value_keys(df: DataFrame, columns: Sequence[str]) -> list[Column] | None:
+    """Per column a value whose text is equal exactly for equal values; None if a column has no such form."""
+    types, out = {f.name: f.dataType for f in df.schema.fields}, []
+    for name in columns:
+        col, kind = F.col(f"`{name}`"), types[name]
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            out.append(col + F.lit(0.0).cast(kind))  # -0.0 as 0.0
+        elif isinstance(kind, T.TimestampType):
+            out.append(F.unix_micros(col))  # its text depends on the time zone
+        elif isinstance(kind, T.BinaryType):
+            out.append(F.hex(col))
+        elif isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampNTZType)):
+            out.append(col)
+        else:
+            return None
+    return out
+
+
 def row_digest(keys: Sequence[Column]) -> Column:
     """SHA-256 of a row's keys, as 32 bytes.
 

@@ -27,40 +27,44 @@ def header_rows(df: DataFrame, raw_header: Column) -> DataFrame:
     )
 
 
-def clean_cells(df: DataFrame, blank_is_empty: bool) -> DataFrame:
-    """Trim cells and drop exact duplicates per file, keeping the first row.
+def trimmed_rows(df: DataFrame, blank_is_empty: bool) -> DataFrame:
+    """(file, _row_id, _repaired, cells, too_long, too_short, trimmed, is_empty): rows with trimmed cells.
 
-    Input: (file, ln, text, cells, too_long, too_short).  One aggregate gives the
-    kept row and all counters of its copies; copies are combined before the
-    shuffle.  ``key`` orders rows and carries the first row's repaired flag.
+    Input: (file, ln, text, cells, too_long, too_short).
     """
     trimmed = strip_cells("cells", F.col("text"))
     changed = F.when(F.col("cells") == F.col("_trimmed"), 0).otherwise(
         F.size(F.filter(F.zip_with("cells", "_trimmed", lambda a, b: a != b), lambda x: x)))
-    rows = df.withColumn("_trimmed", trimmed).select(
-        "file", F.col("_trimmed").alias("cells"),
-        (F.col("ln") * 2 + (F.col("too_long") | F.col("too_short")).cast("int")).alias("key"),
-        "too_long", "too_short", changed.alias("trimmed"),
-    )
-    grouped = rows.groupBy("file", "cells").agg(
-        F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.sum("trimmed").alias("trimmed"),
+    empty = F.forall("_trimmed", lambda c: c == "") if blank_is_empty else F.lit(False)
+    return df.withColumn("_trimmed", trimmed).select(
+        "file", F.col("ln").alias("_row_id"), (F.col("too_long") | F.col("too_short")).alias("_repaired"),
+        F.col("_trimmed").alias("cells"), "too_long", "too_short", changed.alias("trimmed"), empty.alias("is_empty"))
+
+
+def packed_digest(file: Column, cells: Column) -> Column:
+    """SHA-256 of a file name and an array of cells, each written with its length."""
+    packed = F.array_join(F.transform(cells, lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)), "", "-")
+    return F.unhex(F.sha2(F.concat(F.octet_length(file).cast("string"), F.lit(":"), file, packed).cast("binary"), 256))
+
+
+def exact_keys(rows: DataFrame) -> DataFrame:
+    """(file, _row_id, key) of rows that aren't empty: narrow, so the rows themselves need no shuffle."""
+    return rows.filter("NOT is_empty").select("file", "_row_id", packed_digest(F.col("file"), F.col("cells")).alias("key"))
+
+
+def duplicate_rows(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """(file, _row_id) of all rows but the first of each group; ``groups`` holds those with several rows."""
+    return keys.join(groups.select("key", "kept_id"), "key").filter(F.col("_row_id") != F.col("kept_id")).select("file", "_row_id")
+
+
+def clean_counts(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Counters per file over trimmed rows and the groups of their keys."""
+    every = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows_in"), F.sum("trimmed").alias("trimmed"),
         F.count_if("too_long").alias("too_long"), F.count_if("too_short").alias("too_short"),
-    )
-    empty = F.forall("cells", lambda c: c == "") if blank_is_empty else F.lit(False)
-    return grouped.select(
-        "file", F.floor(F.col("key") / 2).alias("_row_id"), (F.col("key") % 2 == 1).alias("_repaired"), "cells",
-        "copies", "trimmed", "too_long", "too_short", empty.alias("is_empty"))
-
-
-def clean_counts(cleaned: DataFrame) -> DataFrame:
-    """Counters per file over the result of :func:`clean_cells`."""
-    return cleaned.groupBy("file").agg(
-        F.sum("copies").alias("rows_in"), F.sum("trimmed").alias("trimmed"),
-        F.sum("too_long").alias("too_long"), F.sum("too_short").alias("too_short"),
-        F.coalesce(F.sum(F.when(F.col("is_empty"), F.col("copies"))), F.lit(0)).alias("empty_rows"),
-        F.coalesce(F.sum(F.when(~F.col("is_empty"), F.col("copies") - 1)), F.lit(0)).alias("duplicate_rows"),
-        F.count_if(~F.col("is_empty")).alias("rows"),
-    )
+        F.count_if("is_empty").alias("empty_rows"))
+    kept = groups.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") - 1).alias("duplicate_rows"))
+    return every.join(kept, "file", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "duplicate_rows")})
 
 
 def numeric_positions(rows: DataFrame) -> DataFrame:
@@ -96,12 +100,11 @@ def near_duplicate_keys(rows: DataFrame) -> DataFrame:
     files with nothing to compare are left out."""
     compared = F.filter(
         F.transform("cells", lambda c, i: F.when(~F.get("ignored", i), compare_text(c))), lambda c: c.isNotNull())
-    packed = F.array_join(F.transform(compared, lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)), "")
-    digest = F.unhex(F.sha2(F.concat(F.octet_length("file").cast("string"), F.lit(":"), "file", packed).cast("binary"), 256))
-    return rows.filter(F.exists("ignored", lambda x: ~x)).select("file", "_row_id", digest.alias("key"))
+    return rows.filter(F.exists("ignored", lambda x: ~x)).select(
+        "file", "_row_id", packed_digest(F.col("file"), compared).alias("key"))
 
 
-def near_duplicate_groups(keys: DataFrame) -> DataFrame:
+def key_groups(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key").agg(F.any_value("file").alias("file"), F.min("_row_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
 
 

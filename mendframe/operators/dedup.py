@@ -1,7 +1,9 @@
 """Exact and near-duplicate rows, first one kept.
 
-Spark tables have no order, so "first" means the smallest value of a unique
-ordering column.  No operator gathers the rows of a duplicate group: groups
+Spark tables have no order, so "first" means the smallest value of an ordering
+column, which is meant to be unique and not null.  Nulls come last; rows that
+tie with the first of their group stay in the near-duplicate operators, and
+exact duplicates keep one of them.  No operator gathers the rows of a duplicate group: groups
 are reduced by aggregates with map-side combine, so a group of copies that
 holds a third of the table costs one partial row per task.
 """
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.compare import compare_keys, row_digest
+from ..functions.compare import compare_keys, row_digest, value_keys
 from ..functions.names import ignorable_columns
 from ..sources.workspace import Workspace
 from .clean import data_columns, quoted
@@ -23,15 +25,34 @@ from .clean import data_columns, quoted
 # (1,000 digests of 32 bytes), and a group outside them holds under N/1,000 rows.
 HOT_GROUPS = 1000
 
-# Up to this many row ids (8 bytes each) are broadcast.
-BROADCAST_IDS = 500_000
+# Rows of a written key table (some 60 bytes each) up to which it is broadcast; it only picks the join.
+BROADCAST_ROWS = 500_000
+
+
+def _joinable(written: DataFrame) -> DataFrame:
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("shuffle_hash")
 
 
 def drop_exact_duplicates(df: DataFrame, order_by: str) -> DataFrame:
-    """Rows that differ in some data column; one hash aggregate, no window."""
+    """The first row of each set of rows that agree in all data columns.
+
+    Rows are compared by a digest, so that only 40 bytes per row are shuffled
+    and the wide rows are left in place.  Columns that have no plain text form
+    (arrays, maps, structs) make it one aggregate over whole rows.
+    """
     data = data_columns(df, order_by)
-    kept = df.groupBy([quoted(c) for c in data]).agg(F.min(quoted(order_by)).alias(order_by))
-    return kept.select([quoted(c) for c in df.columns])
+    keys = value_keys(df, data)
+    if keys is None or not data:
+        kept = df.groupBy([quoted(c) for c in data]).agg(F.min(quoted(order_by)).alias(order_by))
+        return kept.select([quoted(c) for c in df.columns])
+    digest = row_digest(keys)
+    rows, groups = _written(df, df.select(digest.alias("key"), quoted(order_by).alias("row_id")))
+    dropped = dropped_rows(rows, groups)
+    left = _without_dropped(df, digest, order_by, dropped)
+    total = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if total["rows"] - dropped.count() > total["groups"]:  # rows that also tie in the ordering column
+        left = left.dropDuplicates(data)
+    return left
 
 
 def compared_columns(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> list[str]:
@@ -55,20 +76,25 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min("row_id").alias("kept_id"), F.count(F.lit(1)).alias("n"))
 
 
-def near_duplicate_ids(rows: DataFrame, groups: DataFrame) -> tuple[bool, DataFrame]:
-    """(few, ids): the row ids to drop when they are few, else the ids to keep.
+def dropped_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, row_id) of all rows but the first of each group, as a written table.
 
-    ``groups`` must be a written table.  The number of duplicates is counted
-    first: up to ``BROADCAST_IDS`` of them are found and broadcast, so the wide
-    rows are never shuffled.  Otherwise the kept ids are hash-joined by id,
-    which is unique and cannot skew.
+    Both inputs must be written tables.  Rows that tie with the first one, and
+    all rows of a group without any ordering value, stay.
     """
-    extra = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
-    if extra > BROADCAST_IDS:
-        return False, groups.select(F.col("kept_id").alias("row_id"))
-    repeated = groups.filter("n > 1").select("key", "kept_id")  # no more groups than duplicates
-    dropped = rows.join(F.broadcast(repeated), "key").filter(F.col("row_id") != F.col("kept_id"))
-    return True, dropped.select("row_id")
+    repeated = Workspace(rows.sparkSession).save(groups.filter("n > 1").select("key", "kept_id"), "repeated")
+    found = rows.join(_joinable(repeated), "key").filter(~F.col("row_id").eqNullSafe(F.col("kept_id")))
+    return Workspace(rows.sparkSession).save(found.select("key", "row_id").distinct(), "dropped")
+
+
+def _matches(digest, order_by: str):
+    return (digest == F.col("_mf_key")) & F.col(f"`{order_by}`").eqNullSafe(F.col("_mf_row"))
+
+
+def _without_dropped(df: DataFrame, digest, order_by: str, dropped: DataFrame) -> DataFrame:
+    """Anti join by key and row id, whatever the number of dropped rows; only the kind of join depends on it."""
+    gone = _joinable(dropped.select(F.col("key").alias("_mf_key"), F.col("row_id").alias("_mf_row")))
+    return df.join(gone, _matches(digest, order_by), "left_anti")
 
 
 def _written(df: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -83,22 +109,19 @@ def mark_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[st
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         return df.withColumn("is_near_dup", F.lit(False))
-    few, ids = near_duplicate_ids(*_written(df, rows))
-    found = ids.select(F.col("row_id").alias(order_by), F.lit(True).alias("_found"))
-    found = F.broadcast(found) if few else found.hint("shuffle_hash")
-    hit = F.col("_found").isNotNull()
-    marked = df.join(found, order_by, "left").withColumn("is_near_dup", hit if few else ~hit)
-    return marked.select([quoted(c) for c in df.columns] + ["is_near_dup"])
+    dropped = dropped_rows(*_written(df, rows))
+    gone = _joinable(dropped.select(F.col("key").alias("_mf_key"), F.col("row_id").alias("_mf_row"), F.lit(True).alias("_mf_found")))
+    digest = row_digest(compare_keys(df, compared_columns(df, order_by, compare_cols)))
+    marked = df.join(gone, _matches(digest, order_by), "left")
+    return marked.select([quoted(c) for c in df.columns] + [F.col("_mf_found").isNotNull().alias("is_near_dup")])
 
 
 def drop_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:
     rows = keyed_rows(df, order_by, compare_cols)
     if rows is None:
         return df
-    few, ids = near_duplicate_ids(*_written(df, rows))
-    found = ids.withColumnRenamed("row_id", order_by)
-    found = F.broadcast(found) if few else found.hint("shuffle_hash")
-    return df.join(found, order_by, "left_anti" if few else "left_semi").select([quoted(c) for c in df.columns])
+    digest = row_digest(compare_keys(df, compared_columns(df, order_by, compare_cols)))
+    return _without_dropped(df, digest, order_by, dropped_rows(*_written(df, rows)))
 
 
 def count_near_duplicates(df: DataFrame, order_by: str, compare_cols: Sequence[str] | None = None) -> DataFrame:

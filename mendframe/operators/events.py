@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -121,19 +121,22 @@ def retained(df: DataFrame, ts: str, as_of: str, minutes: int = K.RETENTION_MINU
     return df.filter(F.col(ts) >= cutoff)
 
 
+def nulls_last(columns: Sequence[str]):
+    """An ordering value in which nulls come after all values."""
+    return F.struct(*(x for c in columns for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))))
+
+
 def first_events(df: DataFrame, event_id: str, order_by: list[str]) -> DataFrame:
     """One row per event id, the earliest; later deliveries are dropped."""
     rest = [c for c in df.columns if c != event_id]
-    first = df.groupBy(event_id).agg(
-        F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first")
-    )
+    first = df.groupBy(event_id).agg(F.min_by(F.struct(*rest), nulls_last(order_by)).alias("_first"))
     return first.select(event_id, "_first.*").select(df.columns)
 
 
 def latch(entities: DataFrame, events: DataFrame, key: str, order_by: list[str], prefix: str = "first_") -> DataFrame:
     """Entities with the values of their first event; unknown keys are ignored."""
     rest = [c for c in events.columns if c != key]
-    first = events.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"))
-    flat = first.select(key, *[F.col(f"_first.{c}").alias(prefix + c) for c in rest])
+    first = events.groupBy(key).agg(F.min_by(F.struct(*rest), nulls_last(order_by)).alias("_first"))
+    flat = first.select(key, *[F.col(f"_first.{c}").alias(prefix + c) for c in rest], F.lit(True).alias("_latched"))
     joined = entities.join(flat, key, "left")
-    return joined.withColumn("latched", F.col(prefix + rest[0]).isNotNull())
+    return joined.withColumn("latched", F.coalesce("_latched", F.lit(False))).drop("_latched")

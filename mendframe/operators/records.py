@@ -108,13 +108,13 @@ def one_line_records(lines: DataFrame) -> DataFrame:
 
 
 def read_records(lines: DataFrame, effects: DataFrame | None, blocks: DataFrame, n_blocks: int, ws: Workspace,
-                 max_record_chars: int) -> tuple[DataFrame, DataFrame | None]:
+                 max_record_chars: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(records, oversized files).
 
     ``lines`` has (file, blk, ln, text, delimiter) from the header line on,
     ``effects`` is the table of :func:`quote_effects` (None without quotes), ``blocks`` the blocks in play with ``open_tail_nl``: whether a field still
     open at the end of the file keeps a final newline.  A record longer than
-    ``max_record_chars`` is never gathered; its file is reported instead.
+    ``max_record_chars`` (if given) is never gathered; its file is reported instead.
     """
     if effects is None:
         return one_line_records(lines), None
@@ -140,9 +140,11 @@ def read_records(lines: DataFrame, effects: DataFrame | None, blocks: DataFrame,
     placed = ws.save(placed, "placed_lines")
     single = one_line_records(placed.filter("before = 0 AND after = 0"))
     parts = placed.filter("before = 1 OR after = 1")
-    sizes = parts.groupBy("file", "rec_ln").agg(F.sum(F.length("text") + 1).alias("chars"))
-    oversized = ws.save(sizes.filter(F.col("chars") > max_record_chars).select("file").distinct(), "oversized")
-    fitting = without_files(parts, oversized)
+    oversized, fitting = None, parts
+    if max_record_chars is not None:
+        sizes = parts.groupBy("file", "rec_ln").agg(F.sum(F.length("text") + 1).alias("chars"))
+        oversized = ws.save(sizes.filter(F.col("chars") > max_record_chars).select("file").distinct(), "oversized")
+        fitting = without_files(parts, oversized)
     joined = fitting.groupBy("file", F.col("rec_ln").alias("ln")).agg(
         F.min("blk").alias("blk"), F.count(F.lit(1)).alias("n_phys"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "text"))), lambda r: r.getField("text")), "\n").alias("text"),

@@ -29,7 +29,7 @@ from ..sources.admission import admission_verdict
 from ..sources.workspace import Workspace
 
 
-# Up to this many (file, row id) pairs, some 150 bytes each, are broadcast.
+# Up to this many (file, row id) pairs, some 150 bytes each, are broadcast; it only picks the join.
 BROADCAST_IDS = 100_000
 
 
@@ -44,7 +44,7 @@ class Limits:
     max_bytes: int | None = None
     max_rows: int | None = None
     max_cols: int | None = None
-    max_record_chars: int = 64 * 1024 * 1024
+    max_record_chars: int | None = None
 
 
 SERVICE_LIMITS = Limits(**K.SERVICE_LIMITS)
@@ -108,6 +108,21 @@ class RepairResult:
             .select("source", "value").write.partitionBy("source").option("lineSep", "\n").text(path))
 
 
+def _without_rows(rows: DataFrame, keys: DataFrame, groups: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """Rows that are the first of their group; keys and groups are written tables.
+
+    The dropped (file, row id) pairs are found among the narrow keys and taken
+    out by an anti join; their number only picks the kind of join.
+    """
+    repeated = ws.save(groups.filter("n > 1").select("key", "kept_id"), f"{name}_repeated")
+    n = repeated.count()
+    if n == 0:
+        return rows
+    dropped = ws.save(C.duplicate_rows(keys, F.broadcast(repeated) if n <= BROADCAST_IDS else repeated), f"{name}_dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped.hint("shuffle_hash")
+    return rows.join(dropped, ["file", "_row_id"], "left_anti")
+
+
 def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | None = None,
            normalize_numbers: bool = False, limits: Limits = Limits(), strict_compat: bool = False,
            blank_is_empty: bool | None = None, respect_selected_header: bool | None = None,
@@ -190,12 +205,15 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     for bad in (oversized, wide):
         rows = rows if bad is None else S.without_files(rows, bad)
     parsed = P.with_conformed(rows, F.col("text"), F.col("delimiter"), F.col("width"))
-    cleaned = ws.save(C.clean_cells(parsed, blank_is_empty), "cleaned")
-    counts = C.clean_counts(cleaned)
-    repaired = parsed.filter("repaired").select("file", F.col("ln").alias("_row_id"))
+    whole = ws.save(C.trimmed_rows(parsed, blank_is_empty), "trimmed")
+    exact = ws.save(C.exact_keys(whole), "exact_keys")
+    exact_groups = ws.save(C.key_groups(exact), "exact_groups")
+    counts = ws.save(C.clean_counts(whole, exact_groups), "counts")
+    cleaned = _without_rows(whole.filter("NOT is_empty"), exact, exact_groups, ws, "exact")
+    repaired = whole.filter("_repaired").select("file", "_row_id")
 
     # 7. Numbers.
-    data = cleaned.filter("NOT is_empty").select("file", "_row_id", "_repaired", "cells")
+    data = cleaned.select("file", "_row_id", "_repaired", "cells")
     numeric = None
     if normalize_numbers:
         found = headers.select("file").join(C.numeric_positions(data), "file", "left")
@@ -209,7 +227,7 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     if near_dupes:
         flagged = S.with_file_facts(data, headers.select("file", "ignored"), n_files)
         keys = ws.save(C.near_duplicate_keys(flagged), "near_keys")
-        groups = ws.save(C.near_duplicate_groups(keys), "near_groups")
+        groups = ws.save(C.key_groups(keys), "near_groups")
         dupes = groups.groupBy("file").agg(F.sum(F.col("n") - 1).alias("near_dupes"))
         pairs = ws.save(C.near_duplicate_pairs(keys, groups, n_files), "near_pairs")
         side = F.broadcast(pairs) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else pairs
@@ -218,19 +236,7 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
             F.broadcast(kept_rows) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else kept_rows, ["file", "removed_id"])
         examples = examples.select("file", "kept_id", "removed_id", "kept", "removed")
         if near_dupes == "remove":
-            extra = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).first()["n"]
-            if extra <= BROADCAST_IDS:
-                # Few duplicates: the wide rows are not shuffled.
-                repeated = groups.filter("n > 1").select("key", "kept_id")
-                dropped = keys.join(F.broadcast(repeated), "key").filter(F.col("_row_id") != F.col("kept_id"))
-                data = data.join(F.broadcast(dropped.select("file", "_row_id")), ["file", "_row_id"], "left_anti")
-            else:
-                # Kept ids, and all rows of files in which every column is ignored.
-                kept_ids = groups.select("file", F.col("kept_id").alias("_row_id"))
-                uncompared = headers.filter(~F.exists("ignored", lambda x: ~x)).select("file")
-                whole = data.join(uncompared, "file", "left_semi")
-                data = data.join(kept_ids.hint("shuffle_hash"), ["file", "_row_id"], "left_semi")
-                data = data if uncompared.isEmpty() else data.unionByName(whole)
+            data = _without_rows(data, keys, groups, ws, "near")
 
     # 9. Report.
     report = (

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.events import nulls_last
+
 
 def first_deliveries_stream(events: DataFrame, event_id: str | Sequence[str], ts: str, lateness: str = "10 minutes") -> DataFrame:
     """Each event id once; repeats within the watermark delay are dropped.
@@ -23,5 +25,5 @@ def latest_latch(batch: DataFrame, known: DataFrame, key: str, order_by: Sequenc
     For use in ``foreachBatch``; ``known`` is the latch table so far.
     """
     rest = [c for c in batch.columns if c != key]
-    first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"))
+    first = batch.groupBy(key).agg(F.min_by(F.struct(*rest), nulls_last(order_by)).alias("_first"))
     return first.select(key, "_first.*").join(known.select(key), key, "left_anti")

@@ -9,6 +9,7 @@ from mendframe.functions.names import snake_case, snake_case_name, unique_name_l
 from mendframe.functions.rounding import fixed2, round2
 from mendframe.operators import clean as C
 from mendframe.operators import dedup as D
+from mendframe.operators import events as V
 from mendframe.operators import numeric as N
 from mendframe.plans.registry import QUERIES
 
@@ -48,7 +49,7 @@ def test_nothing_to_compare(spark):
 @pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
 def test_groups_with_a_hot_key(spark, monkeypatch, broadcast_ids):
     monkeypatch.setattr(D, "HOT_GROUPS", 2)
-    monkeypatch.setattr(D, "BROADCAST_IDS", broadcast_ids)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast_ids)
     rng = random.Random(4)
     data = [(i, "hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}", None if rng.random() < 0.1 else rng.randrange(2)) for i in range(800)]
     df = spark.createDataFrame(data, "_row_id long, name string, n int")
@@ -124,3 +125,35 @@ def test_core_plans_stay_in_the_jvm(spark, sf, name):
         assert "Exchange hashpartitioning" not in plan  # few duplicates: wide rows stay in place
     if name in ("stitch_records", "tokenize_records", "lenient_parse", "delimiter_choice", "header_choice", "strip_preamble"):
         assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("threshold", [0, 1_000_000])
+def test_null_and_repeated_order_values(spark, monkeypatch, threshold):
+    """Neither the size nor the kind of join decides what stays."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", threshold)
+    data = [(None, "a"), (1, "A "), (2, "a"), (None, "b"), (None, "b"), (3, "c"), (3, "C"), (3, "d"), (5, "D"), (5, "e")]
+    df = spark.createDataFrame(data, "_row_id long, name string")
+    near = sorted(map(str, D.drop_near_duplicates(df, "_row_id").collect()))
+    marked = D.mark_near_duplicates(df, "_row_id")
+    assert near == sorted(map(str, marked.filter("NOT is_near_dup").drop("is_near_dup").collect()))
+    # the first of each group, with ties: (1, A), both nulls of b, both threes of c, (3, d), (5, e)
+    assert sorted((r._row_id or 0, r.name) for r in D.drop_near_duplicates(df, "_row_id").collect()) == [
+        (0, "b"), (0, "b"), (1, "A "), (3, "C"), (3, "c"), (3, "d"), (5, "e")]
+    exact = D.drop_exact_duplicates(df.unionByName(df), "_row_id").collect()
+    assert sorted((r._row_id or 0, r.name) for r in exact) == [
+        (0, "b"), (1, "A "), (2, "a"), (3, "C"), (3, "c"), (3, "d"), (5, "D"), (5, "e")]
+
+
+def test_exact_duplicates_by_value(spark):
+    rows = [(0, 0.0, "a", None), (1, -0.0, "a", None), (2, None, "a", "1"), (3, 1.0, None, "a"), (4, 1.0, "a", None), (5, float("nan"), "", ""), (6, float("nan"), "", "")]
+    df = spark.createDataFrame(rows, "_row_id long, x double, s string, t string")
+    assert ids(D.drop_exact_duplicates(df, "_row_id")) == [0, 2, 3, 4, 5]
+    nested = df.selectExpr("_row_id", "array(s, t) AS a")
+    assert ids(D.drop_exact_duplicates(nested, "_row_id")) == [0, 2, 3, 5]
+
+
+def test_latch_with_null_payload(spark):
+    entities = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    events = spark.createDataFrame([(1, None, 1), (2, "x", None), (2, "y", 5), (9, "z", 1)], "k long, v string, t long")
+    got = {r.k: (r.first_v, r.latched) for r in V.latch(entities, events, "k", ["t"]).collect()}
+    assert got == {1: (None, True), 2: ("y", True), 3: (None, False)}
