@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from mendframe.functions.text import let
 from mendframe.sources.workspace import Workspace
 
+from .keys import small, text_key
+
 #: A word is a run of anything but blank, tab, line and page breaks.
 WORD = r"[^\x20\x09-\x0D]++"
 SYMBOL = r"[#*$%&|<>]+"
@@ -216,8 +218,14 @@ def judged(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged.  Texts aren't shuffled: they are measured again."""
-    rows = work.save(measured(docs, [F.col("doc_id")]), "measured")
+    """The rows of ``docs`` that the rules keep, unchanged.
+
+    The verdict depends on the text alone, so it is given to a hash of each
+    text, and rows with a rejected one are taken out.
+    """
+    rows = work.save(measured(docs, [F.col("doc_id"), text_key("text").alias("key")]), "measured")
     rules = learn(rows, labels, work)
-    whole = measured(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")])
-    return with_features(whole).where(verdict(rules)).select("_row.*")
+    bad = with_features(rows).where(~verdict(rules)).select(F.col("key").alias("_bad")).distinct()
+    bad = small(work.save(bad, "rejected"))
+    return docs.withColumn("_mf_key", text_key("text")).join(bad, F.col("_mf_key") == F.col("_bad"), "left_anti").select(
+        *(F.col(f"`{c}`") for c in docs.columns))
