@@ -1,4 +1,4 @@
-"""Connected components of a link table."""
+"""Connected components of a link table, and ends of chains."""
 
 from __future__ import annotations
 
@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from mendframe.sources.workspace import Workspace
 
 
+def followed(pointers: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(node, root): where the pointers (node, root) lead in the end; they must not run in circles.
+
+    Each round doubles the distance that is looked ahead, and only nodes that
+    haven't come to their end go into the next one.
+    """
+    done, active, step = None, pointers, 0
+    while True:
+        every = active if done is None else active.unionByName(done)
+        ahead = every.select(F.col("node").alias("at"), F.col("root").alias("to"))
+        moved = work.save(active.join(ahead, F.col("root") == F.col("at"), "left").select(
+            "node", F.coalesce("to", "root").alias("root"), F.coalesce(F.col("to") != F.col("root"), F.lit(False)).alias("moved")), f"{name}_{step}")
+        still = moved.where("NOT moved").select("node", "root")
+        done, active, step = still if done is None else done.unionByName(still), moved.where("moved").select("node", "root"), step + 1
+        if active.isEmpty():
+            return done
+
+
 def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); the root is the smallest node of the component.
 
@@ -22,15 +40,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ends = work.save(both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("node"), F.least("a", "low").alias("root")), f"{name}_ends{step}")
-        jump = 0
-        while True:
-            nxt = ends.select(F.col("node").alias("at"), F.col("root").alias("to"))
-            moved = work.save(ends.join(nxt, F.col("root") == F.col("at"), "left").select(
-                "node", F.coalesce("to", "root").alias("root"), (F.col("to") < F.col("root")).alias("moved")), f"{name}_jump{step}_{jump}")
-            changed = not moved.where("moved").isEmpty()
-            ends, jump = moved.select("node", "root"), jump + 1
-            if not changed:
-                break
+        ends = followed(ends, work, f"{name}_jump{step}")
         to = ends.select(F.col("node").alias("at"), F.col("root").alias("to"))
         if roots is None:
             roots = ends

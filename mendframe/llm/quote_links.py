@@ -12,9 +12,11 @@ Originals come down to one row for each (scope, paragraph), so a paragraph that
 many messages write or quote is a hot key on one side only, which Spark can split.
 Places in a conversation come from one global sort, not from a window over it.
 
+A conversation is named after the message it begins with.
+
 Defined cases: a null text is empty; a message without an original, or whose
 quotes all come from later messages, starts a conversation; rows with one
-message_id are one message that may have several texts; a null scope is a scope;
+message_id are one message, which begins at the smallest of their positions; a null scope is a scope;
 a null message_id or position takes no part in links and is a conversation
 of its own; ties in position go to the smaller message_id; an empty table gives
 an empty result; other columns are ignored.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from mendframe.functions.text import let
 from mendframe.sources.workspace import Workspace
 
-from .components import components
+from .components import followed
 
 QUOTE = r"^(?:[\x20\t]?>)+[\x20\t]?"
 ATTRIBUTION = r"^On .{1,200} wrote:\s*$"
@@ -89,13 +91,16 @@ def conversations(messages: DataFrame, work: Workspace) -> DataFrame:
     first = work.save(first.select(F.col("scope").alias("o_scope"), F.col("hash").alias("o_hash"), F.col("origin.position").alias("o_position"),
                                    F.col("origin.message_id").alias("origin")), "originals")
     quoted = work.save(parts.where("level > 0"), "quoted")
+    # a message begins where its first row stands, so answers never run in circles
+    begins = rows.groupBy(F.col("message_id").alias("b_id")).agg(F.min("position").alias("begins"))
+    quoted = quoted.join(begins, F.col("message_id") == F.col("b_id"))
     linked = quoted.join(first, F.col("scope").eqNullSafe(F.col("o_scope")) & (F.col("hash") == F.col("o_hash"))).where(
-        "o_position < position AND origin <> message_id")
+        "o_position < begins AND origin <> message_id")
     linked = work.save(linked.select("scope", "message_id", "level", "o_position", "origin"), "linked")
     answers = linked.groupBy("message_id").agg(F.max(F.struct((-F.col("level")).alias("near"), "o_position", "origin")).alias("best"),
                                                F.count(F.lit(1)).cast("long").alias("n_linked"))
     answers = work.save(answers.select(F.col("message_id").alias("a_id"), F.col("best.origin").alias("parent_id"), "n_linked"), "answers")
-    roots = components(answers.select(F.col("a_id").alias("a"), F.col("parent_id").alias("b")), work, "threads")
+    roots = followed(answers.select(F.col("a_id").alias("node"), F.col("parent_id").alias("root")), work, "threads")
 
     whole = rows.join(answers, F.col("message_id") == F.col("a_id"), "left").join(roots, F.col("message_id") == F.col("node"), "left")
     whole = whole.select("scope", F.coalesce("root", "message_id").alias("conversation_id"), "message_id", "position", "parent_id",

@@ -213,6 +213,8 @@ def test_quotes(spark):
     answers = {r["message_id"]: r["parent_id"] for r in got}
     assert answers == {"m1": None, "m2": "m1", "m3": "m2", "m4": "m1", "m5": None, "n1": None, "n2": None, "m0": None, "m6": None, "m7": "m4", "u1": None}
     assert quote_links.conversations(docs.where("false"), Workspace(spark)).count() == 0
+    ring = spark.createDataFrame([("s", "m", 1, "first"), ("s", "n", 3, "> first\nsecond"), ("s", "m", 5, "> second\nthird")], "scope string, message_id string, position long, text string").selectExpr("*", "'user' AS role")
+    assert {r.message_id: r.parent_id for r in quote_links.conversations(ring, Workspace(spark)).collect()} == {"m": None, "n": "m"}
     nulls = docs.selectExpr("cast(null as string) scope", "if(message_id = 'm1', null, message_id) message_id", "if(message_id = 'm2', null, position) position", "text", "cast(null as string) role")
     assert quote_links.conversations(nulls, Workspace(spark)).count() == len(mails)
 
