@@ -12,22 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..sources.workspace import Workspace
 
 
 def _micros(ts):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _segments(hits: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
-    """Add ``segment``: the start of the gap-free run a hit belongs to.
+def _segments(hits: DataFrame, window_us: int, bucket_us: int, max_hits: int) -> DataFrame:
+    """Add ``segment``, the start of the gap-free run a hit belongs to, and
+    ``crowded``, whether ``max_hits`` other hits lie in the window before it.
 
     A pause longer than the window empties the limiter, so runs between such
     pauses are independent.  Runs are found per (key, time bucket), with only
     one summary row per bucket ordered by key, so a busy key is spread over
-    its buckets.
+    its buckets.  Hits of a bucket's last window also stand in the next one
+    while crowds are looked for.
     """
-    bucketed = hits.withColumn("bucket", F.floor(F.col("us") / bucket_us))
+    own = F.floor(F.col("us") / bucket_us)
+    near = F.floor((F.col("us") + window_us) / bucket_us)
     inside = Window.partitionBy("key", "bucket").orderBy("us", "id")
+    spread = hits.withColumn("bucket", F.explode(F.array_distinct(F.array(own, near))))
+    crowd = F.col("us") - F.lag("us", max_hits).over(inside) <= window_us
+    bucketed = spread.withColumn("crowded", F.coalesce(crowd, F.lit(False))).filter(F.col("bucket") == own)
     local = bucketed.withColumn("prev", F.lag("us").over(inside))
     summary = local.groupBy("key", "bucket").agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"),
@@ -55,18 +62,24 @@ def _segments(hits: DataFrame, window_us: int, bucket_us: int) -> DataFrame:
 def admit(times: np.ndarray, recent: deque, window_us: int, max_hits: int) -> np.ndarray:
     """Accepted positions of sorted hit times; `recent` holds the last accepted times.
 
-    Only accepted hits cost a step: a rejected run is skipped by binary search
-    to the first hit at which the oldest of the last `max_hits` has expired.
+    Stretches are decided at once: a rejected one ends at the first hit at
+    which the oldest of the last `max_hits` has expired, an accepted one at the
+    first hit that is too close to the hit `max_hits` places before it.
     """
     ok = np.zeros(len(times), dtype=bool)
-    i = 0
+    close = np.flatnonzero(times[max_hits:] - times[:-max_hits] <= window_us) + max_hits
+    i = run = 0  # run: hits accepted in a row directly before i
     while i < len(times):
         if len(recent) == max_hits and times[i] - recent[0] <= window_us:
-            i = int(np.searchsorted(times, recent[0] + window_us, side="right"))
+            i, run = int(np.searchsorted(times, recent[0] + window_us, side="right")), 0
             continue
-        ok[i] = True
-        recent.append(int(times[i]))
-        i += 1
+        stop = i + 1
+        if run >= max_hits:
+            k = int(np.searchsorted(close, i))
+            stop = int(close[k]) if k < len(close) else len(times)
+        ok[i:stop] = True
+        recent.extend(int(t) for t in times[max(i, stop - max_hits):stop])
+        run, i = run + stop - i, stop
     return ok
 
 
@@ -93,21 +106,29 @@ def rate_limit(df: DataFrame, key: str, ts: str, event_id: str, max_hits: int =
 
     A hit is accepted while fewer than ``max_hits`` accepted hits lie within
     the window before it (a hit exactly one window old still counts).
-    Rejected hits are not remembered.  Hits of a gap-free run stream through
-    one sorted partition with ``max_hits`` times of state; they are never
-    gathered in memory.
+    Rejected hits are not remembered.  A hit without a time is rejected; null
+    is a key like any other.
+
+    Runs in which no hit has ``max_hits`` others in the window before it are accepted as
+    they are.  Only the others stream through a sorted partition
+    with ``max_hits`` times of state; they are never gathered in memory.
     """
     window_us = window_seconds * 1_000_000
     hits = df.select(F.col(key).alias("key"), F.col(event_id).alias("id"), _micros(ts).alias("us"))
-    runs = _segments(hits, window_us, bucket_us=64 * window_us)
-    mark = F.concat_ws("\u0001", F.col("key").cast("string"), F.col("segment").cast("string"))
+    timeless = hits.filter("us IS NULL").select("id", F.lit(False).alias("accepted"))
+    runs = _segments(hits.filter("us IS NOT NULL"), window_us, 64 * window_us, max_hits)
+    name = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")), F.col("segment").cast("string"))
+    runs = Workspace(df.sparkSession).save(runs.select(name.alias("mark"), "us", "id", "crowded"), "runs")
+    busy = runs.filter("crowded").select("mark").distinct()
+    calm = runs.join(busy, "mark", "left_anti").select("id", F.lit(True).alias("accepted"))
     ordered = (
-        runs.select(mark.alias("mark"), "us", "id")
+        runs.join(busy, "mark", "left_semi").select("mark", "us", "id")
         .repartition("mark").sortWithinPartitions("mark", "us", "id")
     )
     id_type = hits.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("accepted", T.BooleanType())])
-    return ordered.mapInPandas(_limiter(window_us, max_hits), schema)
+    decided = ordered.mapInPandas(_limiter(window_us, max_hits), schema)
+    return decided.unionByName(calm).unionByName(timeless)
 
 
 def expired(df: DataFrame, ts: str, as_of: str, minutes: int = K.RETENTION_MINUTES) -> DataFrame:

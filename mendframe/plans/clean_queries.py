@@ -257,6 +257,20 @@ def rate_limit_hourly(spark, sf):
     return V.rate_limit(table(spark, sf, "events"), "user_id", "ts", "event_id", max_hits=1, window_seconds=3_600)
 
 
+_ODD_HITS = """e AS (SELECT event_id, CASE user_id % 10 WHEN 0 THEN -1 WHEN 1 THEN -2 ELSE user_id END AS user_id,
+  CASE WHEN event_id % 50 <> 7 THEN ts END AS ts FROM events), """
+
+
+@query("rate_limit_odd_hits", RATE_LIMIT_SQL.format(w=3_600_000_000, m=3).replace("FROM events)", "FROM e WHERE ts IS NOT NULL)").replace("WITH RECURSIVE ", "WITH RECURSIVE " + _ODD_HITS)
+       + " UNION ALL SELECT event_id, false FROM e WHERE ts IS NULL")
+def rate_limit_odd_hits(spark, sf):
+    """A tenth of the users as one busy key, a tenth without a key, some hits without a time."""
+    u = F.col("user_id") % 10
+    e = table(spark, sf, "events").select(
+        "event_id", F.when(u == 0, -1).when(u != 1, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 50 != 7, F.col("ts")).alias("ts"))
+    return V.rate_limit(e, "user_id", "ts", "event_id", max_hits=3, window_seconds=3_600)
+
+
 @query("expired_events", """SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-02 12:00:00' - INTERVAL 30 MINUTE""")
 def expired_events(spark, sf):
     return V.expired(table(spark, sf, "events"), "ts", "2024-01-02 12:00:00").select("event_id", "user_id")
@@ -275,13 +289,16 @@ def first_deliveries(spark, sf):
     return V.first_events(_deliveries(spark, sf), "delivery_id", ["ts", "event_id"]).select("delivery_id", "event_id", "user_id", "event_type")
 
 
-@query("status_latch", """WITH p AS (SELECT user_id AS c_custkey, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events WHERE event_type = 'purchase')
-SELECT c.c_custkey, c.c_name, p.event_id AS first_event_id, p.event_type AS first_event_type, p.event_id IS NOT NULL AS latched
-FROM customer c LEFT JOIN p ON p.c_custkey = c.c_custkey AND p.rn = 1""")
+@query("status_latch", """WITH p AS (SELECT user_id AS c_custkey, CASE WHEN event_id % 3 <> 0 THEN event_type END AS note, event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts
+  FROM events WHERE event_type = 'purchase'),
+q AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY ts NULLS LAST, event_id) AS rn FROM p)
+SELECT c.c_custkey, c.c_name, q.note AS first_note, q.event_id AS first_event_id, q.event_id IS NOT NULL AS latched
+FROM customer c LEFT JOIN q ON q.c_custkey = c.c_custkey AND q.rn = 1""")
 def status_latch(spark, sf):
+    """The first payload column may be null, and events may have no time."""
     e = table(spark, sf, "events").filter("event_type = 'purchase'").select(
-        F.col("user_id").alias("c_custkey"), "event_id", "event_type", "ts")
+        F.col("user_id").alias("c_custkey"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("note"), "event_id",
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
     return V.latch(c, e, "c_custkey", ["ts", "event_id"]).drop("first_ts")
 

@@ -216,20 +216,21 @@ def header_info(spark, sf):
 
 
 @query("header_messages", f"""{_HEADER},
-t3 AS (SELECT doc_id, string_agg('line ' || (ln + 1) || ' score=' || printf('%.2f', score), ', ' ORDER BY r) AS t FROM ranked WHERE r <= 3 GROUP BY doc_id)
-SELECT doc_id, 'Header candidates (top 3): ' || t AS candidates, 'Header selected: line ' || (ln + 1) || ' (score=' || printf('%.2f', score) || ')' AS selected,
+t3 AS (SELECT doc_id, string_agg('line ' || (ln + 1) || ' score=' || printf('%.2f', score), ', ' ORDER BY r) AS t FROM ranked WHERE r <= 3 GROUP BY doc_id),
+heavy AS (SELECT doc_id, mode1 = 1 AND mode2 IS NOT NULL AS heavy FROM m1 LEFT JOIN m2 USING (doc_id)),
+log AS (SELECT doc_id, list_filter([
+  CASE WHEN heavy THEN 'Header detection: preamble-heavy file; using modal field count ' || modal || ' from multi-field lines.' END,
+  'Header candidates (top 3): ' || t, CASE WHEN tie THEN 'Header chosen after tie-break: line ' || (ln + 1) END,
+  'Header selected: line ' || (ln + 1) || ' (score=' || printf('%.2f', score) || ')',
+  'Header score gap: ' || CASE WHEN isinf(fgap) THEN 'inf' ELSE printf('%.2f', fgap) END, 'Header modal field count: ' || modal,
   CASE status WHEN 'too_deep' THEN 'Header detection: candidate too deep (>15); leaving file unchanged.' WHEN 'unsure' THEN 'Header check: no preamble removed.'
     WHEN 'stripped' THEN 'Header detected on line ' || (ln + 1) || '; removed ' || ln || ' preamble line(s).'
-    ELSE 'Header appears to be on the first line (no preamble removed).' END AS decision FROM header JOIN t3 USING (doc_id)""")
+    ELSE 'Header appears to be on the first line (no preamble removed).' END], lambda x: x IS NOT NULL) AS log
+  FROM header JOIN t3 USING (doc_id) JOIN heavy USING (doc_id))
+SELECT doc_id, array_to_string(coalesce(log, ['Header detection: no parseable non-empty lines found.']), ' / ') AS messages FROM documents LEFT JOIN log USING (doc_id)""")
 def header_messages(spark, sf):
-    log = F.col("header_log")
-
-    def starting(prefix):
-        return F.element_at(F.filter(log, lambda m: F.startswith(m, F.lit(prefix))), 1)
-
-    h = _headed(spark, sf).filter(F.size("counts") > 0)
-    return h.select("doc_id", starting("Header candidates").alias("candidates"), starting("Header selected").alias("selected"),
-                    F.element_at(log, -1).alias("decision"))
+    """All messages of every file in their order."""
+    return _headed(spark, sf).select("doc_id", F.array_join("header_log", " / ").alias("messages"))
 
 
 def _sql_header_like(f: str) -> str:

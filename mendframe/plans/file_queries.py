@@ -54,15 +54,18 @@ def delimited_round_trip(spark, sf):
     return back.select(F.col("p_partkey").cast("bigint"), "p_name", "p_brand", "p_type", F.col("p_size").cast("bigint"))
 
 
-@query("manifest_rows", """SELECT source AS job_id, count(*) AS rows, 5::BIGINT AS cols, '' AS near_dupes_mode, ';' AS detected_delimiter, 'original.csv' AS original_filename,
-  false AS import_warning FROM documents GROUP BY source""")
+@query("manifest_rows", """SELECT source AS job_id, CASE WHEN source <> 'src1' THEN count(*) END AS rows, 5::BIGINT AS cols, '' AS near_dupes_mode, ';' AS detected_delimiter,
+  'original.csv' AS original_filename, false AS import_warning, 0 AS n_examples FROM documents GROUP BY source""")
 def manifest_rows(spark, sf):
+    """Counts as doubles, one of them not a number."""
     ws = Workspace(spark)
-    runs = table(spark, sf, "documents").groupBy(F.col("source").alias("job_id")).agg(F.count(F.lit(1)).alias("rows"))
+    n = F.when(F.col("source") == "src1", F.lit(float("nan"))).otherwise(F.count(F.lit(1)).cast("double"))
+    runs = table(spark, sf, "documents").groupBy("source").agg(n.alias("rows")).withColumnRenamed("source", "job_id")
     m = sinks.manifest_rows(runs.withColumn("cols", F.lit(5)).withColumn("detected_delimiter", F.lit(";")))
     sinks.write_manifest(m, f"{ws.path}/manifest")
     return sinks.read_manifest(spark, f"{ws.path}/manifest").select(
-        "job_id", "rows", "cols", "near_dupes_mode", "detected_delimiter", "original_filename", "import_warning")
+        "job_id", "rows", "cols", "near_dupes_mode", "detected_delimiter", "original_filename", "import_warning",
+        F.size("near_dupe_examples").alias("n_examples"))
 
 
 _HEADER = "order_id,customer,status,priority"
@@ -91,13 +94,15 @@ def repair_orders(spark, sf):
 
 @query("repair_report", f"""{_PARSED}
 SELECT substring(o_orderpriority, 1, 1) AS level, ',' AS delimiter, 'order_id,customer,status,priority' AS header, count(*) AS rows,
-  count(*) FILTER (len(f) > 4) AS too_long, count(*) FILTER (len(f) < 4) AS too_short, 0::BIGINT AS duplicate_rows
+  count(*) FILTER (len(f) > 4) AS too_long, count(*) FILTER (len(f) < 4) AS too_short, 0::BIGINT AS duplicate_rows,
+  0::BIGINT AS empty_rows, count(*) AS rows_in, 'utf-8' AS encoding, false AS has_cr, false AS bom, true AS ends_nl
 FROM f JOIN orders USING (o_orderkey) GROUP BY 1""")
 def repair_report(spark, sf):
     r = _repair_orders(spark, sf)
     level = F.regexp_extract("file", "/level=([^/]+)/", 1)
-    return r.files.groupBy(level.alias("level"), "delimiter", F.array_join("header", ",").alias("header")).agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("rows", "too_long", "too_short", "duplicate_rows")])
+    facts = ["encoding", "has_cr", "bom", "ends_nl"]
+    return r.files.groupBy(level.alias("level"), "delimiter", F.array_join("header", ",").alias("header"), *facts).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("rows", "too_long", "too_short", "duplicate_rows", "empty_rows", "rows_in")])
 
 
 @query("repair_repairs", f"""{_PARSED} SELECT o_orderkey::VARCHAR AS order_id FROM f WHERE len(f) <> 4""")
@@ -108,35 +113,47 @@ def repair_repairs(spark, sf):
     return hit.select(F.get("cells", F.lit(0)).alias("order_id"))
 
 
-@query("result_view", f"""{_PARSED} SELECT count(*) AS rows, 4::BIGINT AS cols, min(o_orderkey)::VARCHAR AS first_order, max(o_orderkey)::VARCHAR AS last_order FROM f""")
-def result_view(spark, sf):
-    """Manifest totals with previews of the stored rows."""
-    r = _repair_orders(spark, sf)
-    m = r.manifest().agg(F.sum("rows").cast("bigint").alias("rows"), F.max("cols").alias("cols"))
-    order = r.rows.select(F.get("cells", F.lit(0)).cast("bigint").alias("order_id"))
-    first = head(order, "order_id", 1).select(F.col("order_id").cast("string").alias("first_order"))
-    last = tail(order, "order_id", 1).select(F.col("order_id").cast("string").alias("last_order"))
-    # Three single rows side by side.
-    one = F.lit(1).alias("_k")
-    return m.withColumn("_k", one).join(first.withColumn("_k", one), "_k").join(last.withColumn("_k", one), "_k").drop("_k")
-
+_ONE_FILE = f"""{_PARSED}, g AS (SELECT o_orderkey AS k, len(f) <> 4 AS repaired, trim(coalesce(f[1], '')) || '|' || trim(coalesce(f[2], '')) || '|' || trim(coalesce(f[3], ''))
+  || '|' || trim(coalesce(f[4], '')) AS line FROM f)"""
 
 
-@query("repair_near_duplicates", """SELECT c_nationkey::VARCHAR AS nation, min(c_custkey) AS first_cust, upper(c_mktsegment) AS segment FROM customer GROUP BY ALL""")
+@query("result_view", f"""{_ONE_FILE}
+SELECT 'first' AS part, line FROM (SELECT line FROM g ORDER BY k LIMIT 10) UNION ALL SELECT 'last', line FROM (SELECT line FROM g ORDER BY k DESC LIMIT 10)
+UNION ALL SELECT 'repaired', line FROM (SELECT line FROM g WHERE repaired ORDER BY k LIMIT 10)
+UNION ALL SELECT 'summary', count(*) || '|4|true|' || count(*) FILTER (repaired) || '|UTF-8|Unchanged|First row|,' FROM g""")
+def result_view(spark, sf):
+    """All orders as one file in key order: its summary and its previews."""
+    ws = Workspace(spark)
+    records = I.order_records(spark, sf).coalesce(1).sortWithinPartitions("o_orderkey").select("record")
+    _write_lines(records, f"{ws.path}/texts", _HEADER)
+    r = repair(spark, [f"{ws.path}/texts"])
+    v = r.view(r.files.select("file").first()["file"])
+    rows = [d.select(F.lit(part).alias("part"), F.concat_ws("|", "order_id", "customer", "status", "priority").alias("line"))
+            for part, d in (("first", v.first), ("last", v.last), ("repaired", v.repaired))]
+    summary = v.summary.select(F.lit("summary").alias("part"), F.concat_ws(
+        "|", "rows", "cols", "import_warning", "repaired_rows", "encoding_label", "numbers_label", "header_label", "detected_delimiter").alias("line"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(summary)
+
+
+@query("repair_near_duplicates", """SELECT c_nationkey % 3 AS part, c_nationkey::VARCHAR AS nation, min(c_custkey) AS first_cust, upper(c_mktsegment) AS segment,
+  count(*) OVER (PARTITION BY c_nationkey % 3) AS kept_in_file FROM customer GROUP BY c_nationkey, upper(c_mktsegment)""")
 def repair_near_duplicates(spark, sf):
-    """Customers as one file per part, near-duplicates removed across case and blanks.
+    """Customers in three files, near-duplicates removed across case and blanks.
 
-    The id column is ignored when rows are compared; each file keeps its
-    first row of a group, so the groups are merged over the files.
+    The id column is ignored when rows are compared; the first row of each
+    group in its file stays.
     """
     ws = Workspace(spark)
     seg = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
     line = F.concat_ws(";", "c_custkey", F.concat(F.lit(" "), seg, F.lit(" ")), "c_nationkey")
-    _write_lines(table(spark, sf, "customer").select(line.alias("record")), f"{ws.path}/texts", "cust_id;market_segment;nation_key")
+    c = table(spark, sf, "customer").select(line.alias("record"), (F.col("c_nationkey") % 3).alias("part"), "c_custkey")
+    _write_lines(c.coalesce(1).sortWithinPartitions("part", "c_custkey").drop("c_custkey"), f"{ws.path}/texts", "cust_id;market_segment;nation_key", by="part")
     r = repair(spark, [f"{ws.path}/texts"], near_dupes="remove")
-    cell = lambda i: F.get("cells", F.lit(i))
-    return r.rows.groupBy(cell(2).alias("nation"), F.upper(cell(1)).alias("segment")).agg(
-        F.min(cell(0).cast("bigint")).alias("first_cust"))
+    cell = lambda i: F.get("cells", F.lit(i))
+    part = F.regexp_extract("file", "/part=([^/]+)/", 1).cast("int")
+    rows = r.rows.select(part.alias("part"), cell(2).alias("nation"), F.upper(cell(1)).alias("segment"), cell(0).cast("bigint").alias("first_cust"))
+    counts = r.files.select(part.alias("part"), F.col("rows").alias("kept_in_file"))
+    return rows.join(counts, "part")
 
 
 @query("repair_numbers", f"""WITH {I.AMOUNTS} SELECT o_orderkey AS order_key, round({I.sql_number('eu')}, 6) AS eu_price, round({I.sql_number('us')}, 6) AS us_price FROM amounts""")
@@ -193,12 +210,16 @@ def rate_limit_stream(spark, sf):
     return _drain(out, Workspace(spark), "limited").select("id", "accepted")
 
 
-@query("first_deliveries_stream", """SELECT DISTINCT event_id // 3 AS delivery_id FROM events""")
+@query("first_deliveries_stream", """SELECT event_id // 3 AS delivery_id, count(*) > 0 AS is_delivered, 1::BIGINT AS n FROM events GROUP BY 1""")
 def first_deliveries_stream(spark, sf):
     from ..streaming.events import first_deliveries_stream as first
 
-    e = _event_stream(spark, sf).select(F.floor(F.col("event_id") / 3).alias("delivery_id"), "ts")
-    return _drain(first(e, "delivery_id", "ts", "30 days"), Workspace(spark), "firsts").select("delivery_id")
+    e = _event_stream(spark, sf).select(F.floor(F.col("event_id") / 3).alias("delivery_id"), "event_id", "ts")
+    kept = _drain(first(e, "delivery_id", "ts", "30 days"), Workspace(spark), "firsts")
+    # any delivery of an id may be the one that arrives first; it must be one of the id's own, and the only one
+    own = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("delivery_id"), "event_id")
+    return kept.join(own, ["delivery_id", "event_id"], "left").groupBy("delivery_id").agg(
+        F.bool_and(F.col("event_id").isNotNull()).alias("is_delivered"), F.count(F.lit(1)).alias("n"))
 
 
 @query("file_arrivals", """SELECT o_orderkey::VARCHAR AS order_id, o_custkey::VARCHAR AS customer FROM orders""")
@@ -211,3 +232,24 @@ def file_arrivals(spark, sf):
     repair_arrivals(spark, f"{ws.path}/in/*.csv", f"{ws.path}/out", f"{ws.path}/cp").awaitTermination()
     rows = spark.read.parquet(f"{ws.path}/out/rows")
     return rows.select(F.get("cells", F.lit(0)).alias("order_id"), F.get("cells", F.lit(1)).alias("customer"))
+
+
+@query("file_arrivals_rejected", """SELECT 'empty.csv' AS name, 'empty' AS reason, 1::BIGINT AS n FROM (SELECT count(*) FROM orders)
+UNION ALL SELECT o_orderstatus || '.bin', 'extension', 1 FROM orders GROUP BY o_orderstatus""")
+def file_arrivals_rejected(spark, sf):
+    """Orders by status in files of a refused kind, next to a file without content; rejected once in two runs."""
+    from ..streaming.arrivals import repair_arrivals
+
+    ws = Workspace(spark)
+    o = table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"), "o_orderstatus")
+    o.coalesce(1).sortWithinPartitions("o_orderstatus").write.partitionBy("o_orderstatus").text(f"{ws.path}/made")
+    fs, path = ws._fs, ws.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(f"{ws.path}/in"))
+    fs.create(path(f"{ws.path}/in/empty.csv")).close()
+    for r in spark.read.format("binaryFile").load(f"{ws.path}/made").select("path").collect():  # one for each status
+        status = r["path"].split("o_orderstatus=")[1].split("/")[0]
+        fs.rename(path(r["path"]), path(f"{ws.path}/in/{status}.bin"))
+    for _ in range(2):
+        repair_arrivals(spark, f"{ws.path}/in", f"{ws.path}/out", f"{ws.path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{ws.path}/out/rejected")
+    return got.groupBy("name", "reason").agg(F.count(F.lit(1)).alias("n"))

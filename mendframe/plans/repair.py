@@ -21,6 +21,7 @@ from ..functions import text as X
 from ..operators import cells as C
 from ..operators import changelog as G
 from ..operators import parse as P
+from ..operators import preview as V
 from ..operators import profile as PR
 from ..operators import records as R
 from ..sources import files as S
@@ -50,11 +51,22 @@ class Limits:
 SERVICE_LIMITS = Limits(**K.SERVICE_LIMITS)
 
 
+@dataclass
+class ResultView:
+    """summary: one row; first, last, repaired: rows under the file's header."""
+
+    summary: DataFrame
+    first: DataFrame
+    last: DataFrame
+    repaired: DataFrame
+
+
 @dataclass
 class RepairResult:
     """rows: (file, _row_id, cells, _repaired); files: one report row per file;
     rejected: (file, name, reason); examples: near-duplicate pairs;
-    repaired: (file, _row_id) of all rows whose width was repaired."""
+    repaired: (file, _row_id) of all rows whose width was repaired;
+    mode: how near-duplicates were treated ('' if not at all)."""
 
     rows: DataFrame
     files: DataFrame
@@ -63,6 +75,21 @@ class RepairResult:
     repaired: DataFrame
     bronze: DataFrame
     workspace: Workspace
+    mode: str = ""
+
+    def release(self) -> None:
+        """Remove the tables of the run; the result can't be read any more."""
+        self.workspace.release()
+
+    def view(self, file: str, n: int = K.PREVIEW_ROWS) -> ResultView:
+        """The manifest row of one file with its labels, and previews of its rows."""
+        rows = self.table(file)
+        row = self.manifest().filter(F.col("job_id") == file)
+        labels = L.badges("changelog")
+        return ResultView(
+            summary=row.withColumns({k: labels[k] for k in ("encoding_label", "numbers_label", "header_label")}).withColumn(
+                "delimiter_label", L.delimiter_label(F.col("detected_delimiter"))),
+            first=V.head(rows, "_row_id", n), last=V.tail(rows, "_row_id", n), repaired=V.repaired_rows(rows, "_row_id", "_repaired", n))
 
     def table(self, file: str) -> DataFrame:
         """The rows of one file under its clean header, numeric columns as double."""
@@ -79,12 +106,15 @@ class RepairResult:
     def changelog(self) -> DataFrame:
         return G.changelog_rows(self.files)
 
-    def manifest(self, mode: str = "") -> DataFrame:
-        """Manifest rows, one per file."""
-        f = self.files.select(
+    def manifest(self) -> DataFrame:
+        """Manifest rows, one per file, with its near-duplicate examples as JSON."""
+        pair = F.struct("kept_id", "removed_id", F.to_json(F.struct("kept", "removed")).alias("json"))
+        shown = self.examples.groupBy("file").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))  # a few for each file
+        listed = shown.select("file", F.transform("pairs", lambda p: p["json"]).alias("near_dupe_examples"))
+        f = self.files.join(listed, "file", "left").select(
             F.col("file").alias("job_id"), "rows", F.col("width").cast("bigint").alias("cols"), "changelog",
             ((F.col("too_long") > 0) | (F.col("too_short") > 0)).alias("import_warning"),
-            (F.col("too_long") + F.col("too_short")).alias("repaired_rows"), F.lit(mode).alias("near_dupes_mode"),
+            (F.col("too_long") + F.col("too_short")).alias("repaired_rows"), F.lit(self.mode).alias("near_dupes_mode"), "near_dupe_examples",
             F.filter(F.transform("header", lambda h, i: F.when(F.get("ignored", i), h)), lambda h: h.isNotNull()).alias("ignored_cols"),
             F.col("near_dupes").alias("near_dupes_count"), F.col("delimiter").alias("detected_delimiter"),
             L.output_name(F.col("delimiter")).alias("out_file"),
@@ -222,7 +252,8 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
         data = C.convert_numbers(S.with_file_facts(data, numeric.select("file", "numeric"), n_files)).drop("numeric")
 
     # 8. Near-duplicates.
-    examples = data.limit(0).select("file", F.col("cells").alias("kept"), F.col("cells").alias("removed"))
+    none = F.lit(0).cast("bigint")
+    examples = data.limit(0).select("file", none.alias("kept_id"), none.alias("removed_id"), F.col("cells").alias("kept"), F.col("cells").alias("removed"))
     dupes = None
     if near_dupes:
         flagged = S.with_file_facts(data, headers.select("file", "ignored"), n_files)
@@ -230,10 +261,12 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
         groups = ws.save(C.key_groups(keys), "near_groups")
         dupes = groups.groupBy("file").agg(F.sum(F.col("n") - 1).alias("near_dupes"))
         pairs = ws.save(C.near_duplicate_pairs(keys, groups, n_files), "near_pairs")
-        side = F.broadcast(pairs) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else pairs
-        kept_rows = data.select("file", F.col("_row_id").alias("kept_id"), F.col("cells").alias("kept")).join(side, ["file", "kept_id"])
-        examples = data.select("file", F.col("_row_id").alias("removed_id"), F.col("cells").alias("removed")).join(
-            F.broadcast(kept_rows) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else kept_rows, ["file", "removed_id"])
+        # the few rows that are shown are picked by their ids; rows themselves are never broadcast by a hint
+        shown = pairs.select("file", F.explode(F.array("kept_id", "removed_id")).alias("_row_id")).distinct()
+        shown = F.broadcast(shown) if n_files * K.NEAR_DUP_EXAMPLES <= S.BROADCAST_ROWS else shown
+        shown = ws.save(data.select("file", "_row_id", "cells").join(shown, ["file", "_row_id"]), "near_shown")
+        examples = pairs.join(shown.select("file", F.col("_row_id").alias("kept_id"), F.col("cells").alias("kept")), ["file", "kept_id"]).join(
+            shown.select("file", F.col("_row_id").alias("removed_id"), F.col("cells").alias("removed")), ["file", "removed_id"])
         examples = examples.select("file", "kept_id", "removed_id", "kept", "removed")
         if near_dupes == "remove":
             data = _without_rows(data, keys, groups, ws, "near")
@@ -269,4 +302,4 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     report = ws.save(S.without_files(G.with_changelog(report, normalize_numbers, near_dupes or ""), rejected), "report")
     return RepairResult(
         rows=S.without_files(data.select("file", "_row_id", "_repaired", "cells"), rejected), files=report, rejected=rejected,
-        examples=S.without_files(examples, rejected), repaired=S.without_files(repaired, rejected), bronze=bronze, workspace=ws)
+        examples=S.without_files(examples, rejected), repaired=S.without_files(repaired, rejected), bronze=bronze, workspace=ws, mode=near_dupes or "")

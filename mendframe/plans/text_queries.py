@@ -57,7 +57,7 @@ def stitch_stats_pages(spark, sf):
 
 # Record boundaries of the lenient parser: each line is a function of the
 # open/closed state, and the state before a line is the last constant line
-# flipped by the swaps since.
+# flipped by the swaps since.  A final newline inside an open field stays in it.
 _CSV_RECORDS = f"""
 d AS (SELECT doc_id, ln, line, CASE doc_id % 6 WHEN 2 THEN ';' WHEN 3 THEN chr(9) WHEN 4 THEN '|' ELSE ',' END AS d FROM lines),
 e AS (SELECT *, regexp_matches({I.sql_raw_fields('line', 'd')}[-1], '\\A"[^"]*(?:""[^"]*)*\\z') AS c,
@@ -69,8 +69,11 @@ k AS (SELECT *, last_value(CASE WHEN c = o THEN c::INT END IGNORE NULLS) OVER pr
         last_value(swaps) OVER pre AS before_swaps FROM s
       WINDOW pre AS (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, (coalesce(lc, 0) + coalesce(before_swaps, 0) - coalesce(ls, 0)) % 2 AS ob FROM k),
-r AS (SELECT *, sum(CASE WHEN ob = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS rec FROM b),
-recs AS (SELECT doc_id, any_value(d) AS d, rec, string_agg(line, chr(10) ORDER BY ln) AS record FROM r GROUP BY doc_id, rec)"""
+r AS (SELECT *, sum(CASE WHEN ob = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS rec,
+        max(ln) OVER (PARTITION BY doc_id) AS last_ln, CASE WHEN ob = 0 THEN c ELSE o END AS open_after FROM b),
+recs AS (SELECT doc_id, any_value(d) AS d, rec, string_agg(line, chr(10) ORDER BY ln)
+          || CASE WHEN max(ln) = any_value(last_ln) AND arg_max(open_after, ln) AND any_value(nl) THEN chr(10) ELSE '' END AS record
+        FROM r JOIN (SELECT doc_id, ends_with(text, chr(10)) AS nl FROM files) USING (doc_id) GROUP BY doc_id, rec)"""
 
 
 def _file_delimiter():
@@ -80,10 +83,7 @@ def _file_delimiter():
 
 def _parsed_records(spark, sf):
     d = I.file_texts(spark, sf).withColumn("d", _file_delimiter())
-    # A final newline inside an open field stays in the field; the line-based
-    # twin has no such line, so it is cut here for both.
-    text = F.when(F.endswith("text", F.lit("\n")), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    recs = X.csv_records(text, F.col("d"))
+    recs = X.csv_records(F.col("text"), F.col("d"))
     return d.select("doc_id", "d", F.posexplode(recs).alias("pos", "record"))
 
 
@@ -164,17 +164,21 @@ def newline_normalize(spark, sf):
 _VALID_UTF8_PAIRS = r"^(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])*$"
 
 
-@query("encoding_detect", f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') || CASE WHEN doc_id % 9 = 2 THEN chr(129) ELSE '' END AS t FROM documents),
+# Kind 2 has one byte per character: what doesn't fit is written as "?", some get a byte that cp1252
+# doesn't define, some a pair of its quotation marks.
+@query("encoding_detect", f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN text ELSE regexp_replace(text, '[^\\x00-\\xff]', '?', 'g')
+    || CASE doc_id % 9 WHEN 2 THEN chr(129) WHEN 5 THEN chr(147) || chr(148) ELSE '' END END AS t FROM documents),
 e AS (SELECT doc_id, t, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig'
   ELSE CASE WHEN regexp_full_match(t, '(?s){_VALID_UTF8_PAIRS}') THEN 'utf-8'
             WHEN regexp_matches(t, '[\\x81\\x8d\\x8f\\x90\\x9d]') THEN 'latin-1' ELSE 'cp1252' END END AS encoding FROM t)
-SELECT doc_id, encoding, t AS text, encoding <> 'utf-8' AS converted FROM e""")
+SELECT doc_id, encoding, CASE encoding WHEN 'cp1252' THEN replace(replace(t, chr(147), chr(8220)), chr(148), chr(8221)) ELSE t END AS text,
+  encoding <> 'utf-8' AS converted FROM e""")
 def encoding_detect(spark, sf):
     m = F.col("doc_id")
-    tail = F.when(m % 9 == 2, F.lit("\u0081")).otherwise(F.lit(""))
-    text = F.concat(F.regexp_replace("text", r"[^\x00-\xff]", "?"), tail)
-    raw = (F.when(m % 3 == 0, F.encode(text, "UTF-8")).when(m % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
-           .otherwise(F.encode(text, "ISO-8859-1")))
+    tail = F.when(m % 9 == 2, F.lit("\u0081")).when(m % 9 == 5, F.lit("\u0093\u0094")).otherwise(F.lit(""))
+    single = F.concat(F.regexp_replace("text", r"[^\x00-\xff]", "?"), tail)
+    raw = (F.when(m % 3 == 0, F.encode("text", "UTF-8")).when(m % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+           .otherwise(F.encode(single, "ISO-8859-1")))
     d = table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
     return d.select("doc_id", X.detect_encoding("raw").alias("encoding"), X.decode_file("raw").alias("text")).withColumn(
         "converted", F.col("encoding") != "utf-8")
@@ -261,12 +265,14 @@ def output_name(spark, sf):
 
 
 @query("event_log", """SELECT event_id, '{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","event":"' || event_type
-  || '","ip_hash":"' || sha256(user_id::VARCHAR)[1:12] || '","event_id":"' || event_id || '"}' AS line FROM events""")
+  || '","ip_hash":"' || sha256(user_id::VARCHAR)[1:12] || '","event_id":' || event_id || ',"odd":' || (event_id % 2 = 1) || ',"user":"' || user_id || '"}' AS line FROM events""")
 def event_log(spark, sf):
     from ..sources.sinks import log_lines
 
-    e = table(spark, sf, "events").withColumn("ip", F.col("user_id").cast("string"))
-    return log_lines(e, ts="ts", event="event_type", address="ip", fields=["event_id"], keep=["event_id"])
+    """Numbers and truth values are logged as such."""
+    e = table(spark, sf, "events").withColumns({
+        "ip": F.col("user_id").cast("string"), "odd": F.col("event_id") % 2 == 1, "user": F.col("user_id").cast("string")})
+    return log_lines(e, ts="ts", event="event_type", address="ip", fields=["event_id", "odd", "user"], keep=["event_id"])
 
 
 @query("message_classes", """WITH m AS (SELECT doc_id, CASE doc_id % 8

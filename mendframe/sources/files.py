@@ -20,10 +20,13 @@ from ..functions import text as X
 from ..functions.detect import sample_lines
 from .workspace import Workspace
 
-# Fact tables up to this many rows (some 300 bytes each) are broadcast;
-# larger ones are joined by a shuffle on (file, block).
+# Fact tables up to this many rows (some 300 bytes each, most of it the path) are broadcast as they are.
 BROADCAST_ROWS = 50_000
 
+# Up to this many (128 TB in blocks of 128 MB), facts are broadcast under a 96-bit hash of file and block instead of
+# the path: at most some 100 bytes each.  Only beyond that are rows shuffled by (file, block).
+NARROW_ROWS = 1_000_000
+
 
 def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file, n_bytes, modified, name) without reading any content.
@@ -114,9 +117,17 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, n_facts: int, keys: Sequence[str] = ("file", "blk")) -> DataFrame:
-    """Join facts to rows: broadcast when counted small, else hashed by key."""
-    side = F.broadcast(facts) if n_facts <= BROADCAST_ROWS else facts.hint("shuffle_hash")
-    return rows.join(side, list(keys))
+    """Join facts, which have no text but the keys and labels, to rows.
+
+    Counted small they are broadcast, so the rows stay where they are.
+    """
+    if n_facts <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), list(keys))
+    if n_facts > NARROW_ROWS:
+        return rows.join(facts.hint("shuffle_hash"), list(keys))
+    hashes = {"_h1": F.xxhash64(*keys), "_h2": F.hash(*keys)}
+    side = facts.withColumns(hashes).drop(*keys)
+    return rows.withColumns(hashes).join(F.broadcast(side), list(hashes)).drop(*hashes)
 
 
 def without_files(rows: DataFrame, files: DataFrame) -> DataFrame:

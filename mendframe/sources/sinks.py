@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import pseudonym
 from ..functions.text import _col
@@ -27,11 +29,17 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", order_by: st
         .csv(path))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True) -> DataFrame:
-    """Read delimited output back, with inferred column types."""
-    return (spark.read
-            .options(header=True, sep=delimiter, inferSchema=infer, multiLine=True, escape='"')
-            .csv(path))
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, schema: str | None = None) -> DataFrame:
+    """Read delimited output back; a missing or unreadable output is a table without columns and rows.
+
+    With ``schema`` no pass over the data infers the types.  Parts whose cells
+    hold line breaks can't be split, so they are read whole.
+    """
+    reader = spark.read.options(header=True, sep=delimiter, multiLine=True, escape='"')
+    try:
+        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
+    except AnalysisException:
+        return spark.range(0).select()
 
 
 MANIFEST_DEFAULTS = {
@@ -55,7 +63,13 @@ def manifest_rows(df: DataFrame, job_id: str = "job_id", created_at: Column | No
     cols = [_col(job_id).alias("job_id"), created.alias("created_at")]
     for name, kind in MANIFEST_DEFAULTS.items():
         default = F.expr(f"cast({_EMPTY.get(name, 'null')} as {kind})")
-        cols.append((F.coalesce(F.col(name).cast(kind), default) if name in df.columns else default).alias(name))
+        if name not in df.columns:
+            cols.append(default.alias(name))
+            continue
+        value = F.col(name)
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+        cols.append(F.coalesce(value.cast(kind), default).alias(name))
     return df.select(cols)
 
 
@@ -71,11 +85,15 @@ def read_manifest(spark: SparkSession, path: str, job_id: str | None = None) ->
 
 def log_lines(df: DataFrame, ts: str, event: str, address: str | None = None, fields: Sequence[str] = (),
               keep: Sequence[str] = ()) -> DataFrame:
-    """One JSON line per event; the address is stored only as a pseudonym."""
+    """One JSON line per event; the address is stored only as a pseudonym.
+
+    Numbers, booleans and texts keep their kind; other fields are written as text.
+    """
     parts = [F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.col(event).alias("event")]
     if address is not None:
         parts.append(pseudonym(address).alias("ip_hash"))
-    parts += [F.col(f).cast("string").alias(f) for f in fields]
+    plain = (T.StringType, T.NumericType, T.BooleanType)
+    parts += [(F.col(f) if isinstance(df.schema[f].dataType, plain) else F.col(f).cast("string")).alias(f) for f in fields]
     return df.select(*keep, F.to_json(F.struct(*parts)).alias("line"))
 
 

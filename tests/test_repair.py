@@ -225,3 +225,39 @@ def test_file_profile_equals_text_profile(spark, tmp_path):
     for r in profile(df).collect():
         assert (got[r["name"]]["delimiter"], got[r["name"]]["modal"], got[r["name"]]["header_ln"]) == (r["delimiter"], r["modal"], r["header_ln"])
     assert got["deep.csv"]["delimiter"] == "," and got["deeper.csv"]["delimiter"] == ";"
+
+
+def test_a_million_blocks_need_no_shuffle_of_rows(spark):
+    """Facts of 1,000,000 blocks are broadcast under short keys; only beyond that are rows exchanged."""
+    from pyspark.sql import functions as F
+
+    from mendframe.sources import files as S
+
+    rows = spark.range(20).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), (F.col("id") % 5).alias("blk"), F.lit("x").alias("raw"))
+    facts = spark.range(1_000_000).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), F.floor(F.col("id") / 3).alias("blk"), "id")
+    joined = S.with_facts(rows, facts, 1_000_000)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    want = sorted(map(tuple, rows.join(facts, ["file", "blk"]).collect()))
+    assert sorted(map(tuple, joined.select("file", "blk", "raw", "id").collect())) == want
+    assert sorted(map(tuple, S.with_facts(rows, facts, 1_000_001).select("file", "blk", "raw", "id").collect())) == want
+
+
+def test_result_view_examples_and_release(spark, tmp_path):
+    path = write(tmp_path, near_csv=NEAR)
+    result = repair(spark, path, near_dupes="remove")
+    row = result.manifest().first()
+    assert row.near_dupes_mode == "remove" and len(row.near_dupe_examples) == 1
+    assert "Acme  Inc" in row.near_dupe_examples[0] and "acme inc" in row.near_dupe_examples[0]
+    view = result.view(result.files.first()["file"])
+    assert view.summary.first().encoding_label == "UTF-8" and view.first.count() == 2 and view.repaired.count() == 0
+    result.release()
+
+
+def test_read_back_of_nothing(spark, tmp_path):
+    from mendframe.sources import sinks
+
+    back = sinks.read_delimited(spark, str(tmp_path / "none"))
+    assert back.columns == [] and back.count() == 0
+    rows = spark.createDataFrame([("a", float("nan")), ("b", 3.0)], "job_id string, rows double")
+    assert {r.job_id: r.rows for r in sinks.manifest_rows(rows).collect()} == {"a": None, "b": 3}

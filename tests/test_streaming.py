@@ -90,3 +90,44 @@ def test_retention(spark):
     old = V.expired(df, "ts", "2024-01-01 01:00:01", 30)
     assert [r.id for r in old.orderBy("id").collect()] == [0, 1]
     assert V.retained(df, "ts", "2024-01-01 01:00:01", 30).count() == 1
+
+
+def test_empty_arrivals_are_rejected_once(spark, tmp_path):
+    src, out, cp = tmp_path / "in", tmp_path / "out", tmp_path / "cp"
+    src.mkdir()
+    (src / "none.csv").write_text("")
+    repair_arrivals(spark, str(src), str(out), str(cp)).awaitTermination()
+    (src / "a.csv").write_text("id,name\n1,a\n")
+    repair_arrivals(spark, str(src), str(out), str(cp)).awaitTermination()
+    got = spark.read.parquet(str(out / "rejected")).collect()
+    assert [(r.name, r.reason) for r in got] == [("none.csv", "empty")]
+
+
+def test_hits_without_key_or_time(spark):
+    rows = [(1, None, 0), (2, None, 1), (3, None, 2), (4, "a", None), (5, "a", 0), (6, None, None), (7, "a", 500)]
+    rows = [(i, k, None if s is None else T0 + timedelta(seconds=s)) for i, k, s in rows]
+    got = V.rate_limit(spark.createDataFrame(rows, "id long, k string, ts timestamp"), "k", "ts", "id", max_hits=2, window_seconds=60)
+    assert {r.id: r.accepted for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True}
+
+
+def test_admission_by_stretches():
+    """Stretches give what one hit after the other gives."""
+    import random
+    from collections import deque
+
+    import numpy as np
+
+    draw = random.Random(9)
+    for _ in range(300):
+        m, w = draw.randrange(1, 5), draw.randrange(0, 9)
+        times = np.array(sorted(draw.randrange(draw.choice([10, 60, 400])) for _ in range(draw.randrange(60))), dtype=np.int64)
+        kept, want = [], []
+        for t in times:
+            kept = [x for x in kept if t - x <= w]
+            want.append(len(kept) < m)
+            if want[-1]:
+                kept.append(t)
+        cut = draw.randrange(len(times) + 1)
+        recent = deque(maxlen=m)
+        got = [*V.admit(times[:cut], recent, w, m), *V.admit(times[cut:], recent, w, m)]
+        assert got == want
