@@ -31,7 +31,21 @@ HEADER_PREFER_WITHIN = 10
 HEADER_MAX_PREAMBLE = 15
 HEADER_MIN_GAP = 0.75
 
+# --- fixed values: weights of the header score ----------------------------
+SCORE_LETTERS = 4.0
+SCORE_NUMBERS = -5.0
+SCORE_DATES = -4.0
+SCORE_DISTINCT = 2.0
+SCORE_MEAN_LENGTH = -0.05
+SCORE_TITLE = -3.0
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
+
 # --- fixed values: header-likeness ----------------------------------------
+SLASH_DATE = r"^\d{1,2}/\d{1,2}/\d{2,4}"
+COMPACT_DATE = r"^\d{8}(_\d{6})?$"
+SHORT_CODE = r"^[A-Za-z]\d{1,3}$"
+LONG_NUMBER = r"^\d{6,}$"
+PLAIN_LABEL = "^[A-Za-z_][A-Za-z0-9_]*$"
 LABEL_MAX_LENGTH = 24
 LABEL_MIN_SHARE = 0.60
 DATA_MAX_SHARE = 0.30

@@ -227,14 +227,14 @@ def header_score(line: Column, delimiter) -> Column:
         n = F.greatest(F.size(parts), F.lit(1))
         length = F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x)) / n
         base = (
-            _share(parts, lambda p: p.rlike("[A-Za-z]"), n) * 4.0
-            - _share(parts, lambda p: p.rlike(K.PLAIN_NUMBER), n) * 5.0
-            - _share(parts, lambda p: p.rlike(r"^\d{4}-\d{2}-\d{2}"), n) * 4.0
-            + F.size(F.array_distinct(parts)) / n * 2.0
-            - length * 0.05
+            _share(parts, lambda p: p.rlike("[A-Za-z]"), n) * K.SCORE_LETTERS
+            + _share(parts, lambda p: p.rlike(K.PLAIN_NUMBER), n) * K.SCORE_NUMBERS
+            + _share(parts, lambda p: p.rlike(K.ISO_DATE), n) * K.SCORE_DATES
+            + F.size(F.array_distinct(parts)) / n * K.SCORE_DISTINCT
+            + length * K.SCORE_MEAN_LENGTH
         )
         title = F.contains(line, F.lit(":")) & (n <= 2)
-        return base - F.when(title, F.lit(3.0)).otherwise(F.lit(0.0))
+        return base + F.when(title, F.lit(K.SCORE_TITLE)).otherwise(F.lit(0.0))
 
     return let(F.transform(fields(line, delimiter), strip), score)
 
@@ -287,10 +287,10 @@ def looks_like_header(cells: Column) -> Column:
     """True for a row of labels, False for a row of data."""
     def kind(t):
         number = t.rlike(K.PLAIN_NUMBER)
-        date = t.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}") | t.rlike(r"^\d{8}(_\d{6})?$")
-        code = t.rlike(r"^[A-Za-z]\d{1,3}$")
+        date = t.rlike(K.SLASH_DATE) | t.rlike(K.COMPACT_DATE)
+        code = t.rlike(K.SHORT_CODE)
         label = (
-            t.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+            t.rlike(K.PLAIN_LABEL)
             & (F.contains(t, F.lit("_")) | (t == F.lower(t)))
             & (F.length(t) <= K.LABEL_MAX_LENGTH)
         )
@@ -303,7 +303,7 @@ def looks_like_header(cells: Column) -> Column:
         labels = F.size(F.filter(kinds, lambda k: k == "label"))
         data = F.size(F.filter(kinds, lambda k: k == "data"))
         is_data = (
-            F.element_at(parts, 1).rlike(r"^\d{6,}$")
+            F.element_at(parts, 1).rlike(K.LONG_NUMBER)
             | F.exists(parts, lambda p: F.contains(p, F.lit("@")))
             | (mean_len > K.LABEL_MAX_LENGTH)
         )
