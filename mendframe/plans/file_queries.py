@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.preview import head, tail
 from ..sources import files as S
 from ..sources import sinks
 from ..sources.workspace import Workspace
