@@ -40,7 +40,8 @@ HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits
 STATES = 64
-#: Bounds of the labelled samples: matched values, and documents whose words are the ordinary identifiers.
+#: Sizes of the labelled samples (give or take their square roots): matched values, and documents whose words are the
+#: ordinary identifiers.
 SAMPLE_VALUES = 20_000
 SAMPLE_DOCS = 2_000
 #: Least log-likelihood ratio for each transition, and in all.
@@ -91,12 +92,18 @@ def _model(tokens: DataFrame) -> list[float]:
     return [math.log(x / sum(row)) for row in counts for x in row]
 
 
+def _sample(rows: DataFrame, size: int, *columns: str) -> DataFrame:
+    """About ``size`` rows, chosen by a hash of the columns where they stand; all of them if there are no more."""
+    n = rows.count()
+    return rows if n <= size else rows.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < int(size / n * (1 << 31)))
+
+
 def train(docs: DataFrame, rows: DataFrame) -> list[float]:
     """Log-likelihood ratios random : ordinary of all transitions."""
     strict = rows.select(F.explode("spans").alias("x")).where("x.kind < 3").select(
         F.when(F.col("x.kind") == 0, F.regexp_extract("x.m", VALUE_AT_END, 1)).otherwise(F.col("x.m")).alias("token")).distinct()
-    random = strict.orderBy(F.xxhash64("token"), "token").limit(SAMPLE_VALUES)
-    sample = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    random = _sample(strict, SAMPLE_VALUES, "token")
+    sample = _sample(docs.select("doc_id", "text"), SAMPLE_DOCS, "doc_id")
     words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z_]{6,}+(?![A-Za-z0-9])"), F.lit(0))).alias("token"))
     many, few = _model(random), _model(words)
     return [a - b for a, b in zip(many, few, strict=True)]
