@@ -27,7 +27,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendframe.functions.text import let
 from mendframe.sources.workspace import Workspace
 
 from .components import followed

@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 import zlib
-from itertools import product
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -151,4 +150,4 @@ def mixed(pieces, n, seed):
     return ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 14))) for _ in range(n)]
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["product"]
+__all__ = [n for n in dir() if not n.startswith("_")]

@@ -9,7 +9,7 @@ import numpy as np
 import brute as B
 import corpus_pipeline
 import pytest
-from mendframe.llm import near_copies, packing, quality_rules, quote_links, secret_scan, winnowing
+from mendframe.llm import near_copies, quote_links, winnowing
 from mendframe.llm.components import components
 from mendframe.llm.queries import QUERIES
 from mendframe.sources.workspace import Workspace
