@@ -12,15 +12,21 @@ Documents with one set are one node.  Places are banded; nodes that share a
 band are candidates, and a candidate pair is a link if the full sets say so.
 Only components are wanted, so no group is expanded into pairs:
 
-1. Within a band's bucket, each node is checked against the smallest one.
-2. Components of those links are found.  Where a bucket still holds several,
-   pairs across components are checked: in small buckets by a join; large
-   ones are cut into blocks, and each pair of blocks is a task that compares
-   sketches in numpy.  Both leave out pairs whose sketches agree in
-   too few places to be similar (six standard deviations below the threshold).
+1. In each bucket the node with the most company in all its bands is the
+   middle.  Each node is checked against one middle of its bands, and
+   components of those links are found; then against a few other nodes drawn from
+   its buckets that aren't in its component yet.
+2. Where a bucket still holds several components, shingles are counted over
+   its nodes.  Shingles that only one of them has can't be shared: a node with more than a fifth of
+   them has no further link, and for others they bound the
+   similarity of each pair.  Pairs across components within the bound are
+   checked: in small buckets by a join; large ones are cut into blocks, and each
+   pair of blocks is a task that works in numpy.  Left out are pairs that differ too much
+   in the counts of their shingles over CELLS cells, which is exact, and pairs whose sketches
+   agree in too few places (five standard deviations below the threshold).
 
 Bands of 5 places, 40 of them: a pair of similarity 0.8 shares none with
-probability 1.3e-7; that and the six deviations are the only chances to miss a
+probability 1.3e-7; that and the five deviations are the only chances to miss a
 link.  Shingles and sets are compared by 64- and 128-bit hashes.
 
 Defined cases: a null text or one without words has an empty set, links with
@@ -50,8 +56,13 @@ COORDINATES = 200
 ROWS = 5
 BANDS = COORDINATES // ROWS
 THRESHOLD = 80  # per cent
-#: Agreeing places below which a pair isn't looked at: six standard deviations under the threshold.
-LEAST_AGREEING = int(0.8 * COORDINATES - 6 * (COORDINATES * 0.8 * 0.2) ** 0.5)
+STARS = 2
+#: Middles of other components that a node is checked against in each further round.
+TRIES = 4
+#: Agreeing places below which a pair isn't looked at: five standard deviations under the threshold.
+LEAST_AGREEING = int(0.8 * COORDINATES - 5 * (COORDINATES * 0.8 * 0.2) ** 0.5)
+#: Cells over which shingles are counted, to bound how far two sets are apart.
+CELLS = 256
 #: Larger buckets are compared in blocks of so many nodes.
 BLOCK = 256
 #: Documents sketched together, and words remembered by a worker.
@@ -136,7 +147,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                     keys, short = band_keys(sk), (mixed(sk) & np.uint64(0xFF)).astype(np.uint8)
                     for j, i in enumerate(full):
                         node[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                        bands[i], small[i] = keys[j], short[j].tobytes()
+                        bands[i], small[i] = keys[j], short[j].tobytes() + cell_counts(sets[i])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())],
@@ -146,53 +157,67 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         run, "doc_id long, key binary, n_shingles long, node binary, bands array<long>, sketch binary")
 
 
-def agreeing(a: Iterable[bytes], b: Iterable[bytes]) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDINATES) for v in (a, b))
-    return (x == y).sum(axis=1)
+def cell_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of CELLS cells, 255 at most."""
+    return np.minimum(np.bincount((shingles % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def unpacked(sketches_: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches_), np.uint8).reshape(-1, COORDINATES + CELLS)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether unpacked rows may be similar enough; ``both`` is the sum of the set sizes.
+
+    Sets differ in at least as many shingles as their cells differ in counts.
+    """
+    apart = np.abs(x[:, COORDINATES:].astype(np.int16) - y[:, COORDINATES:]).sum(axis=1)
+    agree = (x[:, :COORDINATES] == y[:, :COORDINATES]).sum(axis=1)
+    return (100 * (both - apart) >= THRESHOLD * (both + apart)) & (agree >= LEAST_AGREEING)
 
 
 def alike(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs (a, b, sketch_a, sketch_b) that agree in enough places."""
+    """(a, b) of the pairs (a, b, sketch_a, sketch_b, both) that may be similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                yes = agreeing(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()) >= LEAST_AGREEING
+                x, y = (unpacked(batch.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
+                yes = may_link(x, y, batch.column("both").to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(yes))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "sketch_a", "sketch_b", F.col("both").cast("long").alias("both")).mapInArrow(run, "a long, b long")
 
 
-def alike_in_blocks(members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(a, b) across components within large buckets: members (key, node, root, sketch), blocks (key, n)."""
-    cut = members.join(blocks, "key").withColumn("n", F.ceil(F.col("n") / BLOCK)).withColumn(
-        "own", F.pmod(F.xxhash64("node"), "n"))
+def alike_in_blocks(members: DataFrame) -> DataFrame:
+    """(a, b) across components within large buckets: members (band, id, root, n, n_shingles, own, sketch)."""
+    cut = members.withColumn("n", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("id"), "n"))
     others = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
     dealt = cut.withColumn("other", F.explode(others)).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "sketch",
-        (F.col("own") <= F.col("other")).alias("first"))
+        "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "root", "n_shingles", "own", "sketch",
+        (F.col("part") <= F.col("other")).alias("first"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sk = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(-1, COORDINATES)
-        node, root, first = part["node"].to_numpy(), pd.factorize(part["root"].map(bytes))[0], part["first"].to_numpy()
+        sk = unpacked(part["sketch"])
+        number, root, size, own, first = (part[c].to_numpy() for c in ("id", "root", "n_shingles", "own", "first"))
         same = bool((part["i"] == part["j"]).all())
-        out_a, out_b = [], []
+        out = []
         for k in np.flatnonzero(first):
-            yes = ((sk == sk[k]).sum(axis=1) >= LEAST_AGREEING) & (root != root[k])
+            common = np.minimum(size - own, size[k] - own[k])
+            yes = (root != root[k]) & (100 * common >= THRESHOLD * (size + size[k] - common))
             yes &= (np.arange(len(sk)) > k) if same else ~first
-            for o in np.flatnonzero(yes):
-                x, y = sorted((bytes(node[k]), bytes(node[o])))
-                out_a.append(x)
-                out_b.append(y)
-        return pd.DataFrame({"a": out_a, "b": out_b})
+            at = np.flatnonzero(yes)
+            at = at[may_link(sk[at], sk[k:k + 1], size[at] + size[k])]
+            out.append(np.column_stack([np.minimum(number[at], number[k]), np.maximum(number[at], number[k])]))
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts (node, text) has one text for each node."""
-    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """The pairs (a, b) whose full sets are similar enough; texts (id, text) has one text for each node."""
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, known = Shingles(words), None, None
@@ -206,57 +231,119 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 yes.append(100 * common >= THRESHOLD * (len(known) + len(s) - common))
             yield pa.RecordBatch.from_arrays([a, batch.column("b")], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(id, text) of the nodes with the given ids, one text for each."""
+    used = work.save(nodes.select("id", "key").join(ids, "id", "left_semi"), f"{name}_nodes")
+    return docs.join(small(used), "key").select("id", "text").dropDuplicates(["id"])
+
+
+def own_shingles(ids: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, work: Workspace) -> DataFrame:
+    """(id, own): how many shingles of each node no other of these nodes has; 0 where the node is missing."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in batches:
+            ids_, texts = batch.column(0), batch.column(1)
+            for i in range(len(batch)):
+                s = shingles.of(texts[i].as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids_[i].as_py(), np.int64)), pa.array(s)], ["id", "s"])
+
+    each = texts_of(ids, docs, nodes, work, "own").mapInArrow(run, "id long, s long")
+    once = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return work.save(once.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "own_shingles")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, work: Workspace, name: str) -> DataFrame:
-    """Confirm pairs; only the texts of nodes in a pair are moved, one for each node."""
-    pairs = work.save(pairs.distinct(), f"{name}_pairs")
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = work.save(nodes.select("node", "key").join(used, "node", "left_semi"), f"{name}_nodes")
-    texts = docs.join(small(used), "key").select("node", "text").dropDuplicates(["node"])
-    return work.save(confirmed(pairs, work.save(texts, f"{name}_texts"), words), f"{name}_links")
+    """Confirm written pairs (a, b); only the texts of nodes in a pair are moved, one for each node."""
+    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = work.save(texts_of(used, docs, nodes, work, name), f"{name}_texts")
+    links = work.save(confirmed(pairs, texts, words), f"{name}_links")
+    work.drop(f"{name}_texts")
+    return links
+
+
+def _renamed(roots: DataFrame, node: str, root: str) -> DataFrame:
+    return roots.select(F.col("node").alias(node), F.col("root").alias(root))
 
 
 def components_of(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept) of every row of ``docs``; key is a hash of the text."""
+    """(doc_id, key, root, n_shingles, component_id, kept) of every row of ``docs``.
+
+    ``key`` is a hash of the text, ``root`` the component's own name, null for empty sets.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key("text").alias("key"), "text")
     sets = work.save(sketched(docs, words), "sets")
-    nodes = work.save(sets.where("node IS NOT NULL").select("node", "key", "bands", "sketch").dropDuplicates(["node"]), "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("node").alias("middle"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = work.save(buckets, "buckets")
-    stars = entries.join(buckets.select("band", "middle"), "band").where("node <> middle").select(
-        F.col("middle").alias("a"), F.col("node").alias("b"))
-    links = checked(stars, docs, nodes, words, work, "star")
-    roots = components(links, work, "cc_star")
+    each = sets.where("node IS NOT NULL").select("node", "key", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
+    # from here on nodes have short numbers; they are fixed by being written
+    nodes = work.save(each.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("id", F.explode("bands").alias("band"))
+    buckets = work.save(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = work.save(entries.join(buckets, "band"), "bucket_members")
+    # a node with much company in its bands is in the middle of its group
+    weights = work.save(members.groupBy("id").agg((-F.sum("n")).alias("order")), "weights")
+
+    links = roots = tried = None
+    for step in range(STARS):
+        ranked = members.join(weights, "id") if step == 0 else members.withColumn("order", F.xxhash64("id", F.lit(step)))
+        middles = work.save(ranked.groupBy("band").agg(F.min(F.struct("order", "id")).alias("first")), f"middles{step}")
+        apart = members.join(middles, "band").select("id", "band", "first", F.col("first.id").alias("middle")).where("id <> middle")
+        if roots is not None:
+            apart = apart.join(_renamed(roots, "id", "r1"), "id", "left").join(_renamed(roots, "middle", "r2"), "middle", "left").where(
+                "coalesce(r1, id) <> coalesce(r2, middle)").join(tried.select(F.col("a").alias("middle"), F.col("b").alias("id")), ["middle", "id"], "left_anti")
+        part = F.pmod(F.xxhash64("band"), F.lit(1 if step == 0 else TRIES))
+        pairs = apart.groupBy("id", part.alias("part")).agg(F.min("first").alias("first"))
+        pairs = work.save(pairs.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), f"star{step}_pairs")
+        if pairs.isEmpty():
+            break
+        more = checked(pairs, docs, nodes, words, work, f"star{step}")
+        links, tried = (x if y is None else y.unionByName(x) for x, y in ((more, links), (pairs, tried)))
+        roots = components(links, work, f"cc{step}")
 
     # buckets that still hold several components
-    members = entries.join(buckets.select("band", "n"), "band").join(roots, "node", "left").select(
-        F.col("band").alias("key"), "node", "n", F.coalesce("root", "node").alias("root"))
-    members = work.save(members, "members")
-    still = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"))
-    still = work.save(still.where("low <> high").select("key", "n"), "open")
-    if not still.isEmpty():
-        parts = members.select("key", "node", "root").join(still, "key").join(nodes.select("node", "sketch"), "node")
-        parts = work.save(parts, "parts")
+    if roots is not None:
+        rooted = work.save(members.join(_renamed(roots, "id", "root"), "id", "left").select(
+            "band", "id", "n", F.coalesce("root", "id").alias("root")), "rooted_members")
+        still = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("n").alias("n"))
+        still = work.save(still.where("low <> high").select("band", "n"), "open")
+        work.drop("bucket_members")
+        parts = work.save(rooted.join(still.select("band"), "band", "left_semi").select("band", "id", "root"), "open_members")
+        own = own_shingles(parts.select("id").distinct(), docs, nodes, words, work)
+        fit = nodes.select("id", "n_shingles").join(parts.select("id").distinct(), "id", "left_semi").join(own, "id", "left").withColumn(
+            "own", F.coalesce("own", F.lit(0)))
+        fit = work.save(fit.where(f"100 * own <= {100 - THRESHOLD} * n_shingles"), "fit")
+        parts = work.save(parts.join(fit, "id"), "candidates")
+        left = parts.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        parts = work.save(parts.join(work.save(left.where("low <> high").select("band", "n"), "left"), "band"), "left_members")
+        parts = work.save(parts.join(nodes.select("id", "sketch"), "id"), "parts")
         few = parts.where(F.col("n") <= BLOCK)
-        other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b"))
-        across = few.select("key", F.col("node").alias("a"), "root", F.col("sketch").alias("sketch_a")).join(other, "key").where(
-            "a < b AND root <> root_b")
-        many = parts.where(F.col("n") > BLOCK)
-        pairs = alike(across).unionByName(alike_in_blocks(many.drop("n"), still.where(F.col("n") > BLOCK)))
-        more = checked(pairs, docs, nodes, words, work, "across")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more), work, "cc_all")
-
-    rooted = work.save(sets.select("doc_id", "key", "n_shingles", "node").join(roots, "node", "left").select(
-        "doc_id", "key", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
-    for done in ("sets", "nodes", "buckets", "members", "parts", "star_texts", "across_texts"):
+        other = few.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "root", "n_shingles", "own", "sketch")))
+        common = "least(n_shingles - own, n_shingles_b - own_b)"
+        across = few.join(other, "band").where(
+            f"id < id_b AND root <> root_b AND 100 * {common} >= {THRESHOLD} * (n_shingles + n_shingles_b - {common})")
+        across = alike(across.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("sketch").alias("sketch_a"), "sketch_b",
+                                     (F.col("n_shingles") + F.col("n_shingles_b")).alias("both")))
+        many = alike_in_blocks(parts.where(F.col("n") > BLOCK))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = work.save(across.unionByName(many).distinct().join(done, ["a", "b"], "left_anti"), "across_pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(checked(pairs, docs, nodes, words, work, "across"))
+            roots = components(links, work, "cc_all")
+
+    names = nodes.select("id", "node")
+    if roots is None:
+        names = names.select("node", F.col("id").alias("root"))
+    else:
+        names = names.join(_renamed(roots, "id", "root"), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    names = work.save(names, "names")
+    rooted = work.save(sets.select("doc_id", "key", "n_shingles", "node").join(names, "node", "left").drop("node"), "rooted")
+    for done in ("sets", "nodes", "buckets", "bucket_members", "rooted_members", "open_members", "candidates", "left_members", "parts", "names"):
         work.drop(done)
     least = work.save(rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("low")), "least")
     out = rooted.join(least, "root", "left").select(
-        "doc_id", "key", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+        "doc_id", "key", "root", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -266,13 +353,11 @@ def without_copies(docs: DataFrame, words: int, work: Workspace) -> DataFrame:
     gone = work.save(found.where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct(), "gone")
     keyed = docs.withColumns({"_mf_id": F.col("doc_id").cast("long"), "_mf_key": text_key("text")})
     left = keyed.join(small(gone), F.col("_mf_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mf_key") == F.col("_gone_key")), "left_anti")
-    again = found.where("kept AND n_shingles > 0").groupBy("component_id").count().where("count > 1")
-    if not again.isEmpty():  # rows repeated with their doc_id, or several rows without one
-        one = work.save(found.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("key").alias("_one")), "one")
-        again = work.save(again.join(one, "component_id"), "again")
-        spare = found.where("kept AND n_shingles > 0").join(again, "component_id")
+    several = found.where("kept AND root IS NOT NULL").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("_one"))
+    several = work.save(several.where("n > 1").drop("n"), "several")
+    if not several.isEmpty():  # rows repeated with their doc_id, or several rows without one
+        spare = found.where("kept").join(several, "root")
         spare = work.save(spare.select(F.col("doc_id").alias("_again_id"), F.col("key").alias("_again_key"), (F.col("key") == F.col("_one")).alias("_stays")).distinct(), "spare")
-        mark = left.join(small(spare), F.col("_mf_id").eqNullSafe(F.col("_again_id")) & (F.col("_mf_key") == F.col("_again_key")), "left")
-        mark = mark.where("_stays IS NULL OR _stays").drop("_again_id", "_again_key")
-        left = mark.where("_stays IS NULL").unionByName(mark.where("_stays").dropDuplicates(["_mf_id", "_mf_key"]))
+        marked = left.join(small(spare), F.col("_mf_id").eqNullSafe(F.col("_again_id")) & (F.col("_mf_key") == F.col("_again_key")), "left")
+        left = marked.where("_stays IS NULL").unionByName(marked.where("_stays").dropDuplicates(["_mf_id", "_mf_key"]))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -47,7 +47,7 @@ def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_similarity_sketch")
 def similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.components_of(table(spark, sf_dir, "documents"), 2, Workspace(spark)).drop("key")
+    return near_copies.components_of(table(spark, sf_dir, "documents"), 2, Workspace(spark)).drop("key", "root")
 
 
 @query("op5_decision_list")
