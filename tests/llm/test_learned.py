@@ -224,3 +224,47 @@ def test_scores_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_words"] for r in got} == {i: len(t.split()) for i, t in docs.items()}
     assert all(r["sum_logprob"] < 0 for r in got)
+
+
+def test_rare_words_have_their_own_terms(spark, monkeypatch):
+    """A rare word swapped for another of its look changes the score, whether the workers hold it or it is joined."""
+    texts = ["the zorbing was long"] * 6 + ["the blorping was long", "the plonking was long"]
+    assert masked_lm.look("zorbing") == masked_lm.look("blorping") == masked_lm.look("plonking")
+    monkeypatch.setattr(masked_lm, "FREQUENT", 3)
+    monkeypatch.setattr(masked_lm, "most_frequent", lambda words, most: ["the", "was", "long"])
+    scores = []
+    for head in (0, 1, 100):
+        monkeypatch.setattr(masked_lm, "HEAD", head)
+        got = {r["doc_id"]: r["sum_logprob"] for r in B.rows(masked_lm.learn_and_score(B.awkward(spark, texts), Workspace(spark)))}
+        assert got[0] - got[6] == pytest.approx(np.log(6.5 / 1.5)) and got[6] == pytest.approx(got[7])
+        scores.append(got[0])
+    assert scores == pytest.approx([scores[0]] * 3, rel=1e-4)
+
+
+def test_word_terms_are_a_distribution(spark):
+    texts = ["aaax bbbx aaax cccx", "dddx aaax eeee", None]
+    words = masked_lm.in_classes(masked_lm.vocabulary(B.awkward(spark, texts)), [])
+    terms, unseen = masked_lm.word_terms(words)
+    mass = Counter({i: float(np.exp(x)) for i, x in unseen.items()})
+    for r in terms.collect():
+        mass[masked_lm.look(r.word)] += float(np.exp(r.logp))
+    seen = {masked_lm.look(w) for t in texts if t for w in t.split()}
+    assert all(mass[i] == pytest.approx(1) for i in seen)
+
+
+def test_outer_words_weigh(spark):
+    """Where the word two places before decides, the window's weight is above zero and the classes are predicted better."""
+    texts = [f"{a} x y {a}" for a in ("u", "v")] * 100
+    docs = B.awkward(spark, texts)
+    frequent = masked_lm.frequent_words(docs)
+    codes = masked_lm.coded(docs, frequent).select("doc_id", "classes")
+    counts, pairs = np.zeros(masked_lm.CLASSES ** 3, np.float32), {d: np.zeros(masked_lm.CLASSES ** 2) for d in masked_lm.OUTER}
+    for r in masked_lm.counted(codes).collect():
+        (counts if r.kind == 1 else pairs[r.kind])[r.cell] = r.n
+    assert pairs[3].sum() == 100 * 2 * (4 + 3)
+    table = masked_lm.train(counts.reshape((masked_lm.CLASSES,) * 3))
+    outer = masked_lm.associations({d: n.reshape(masked_lm.CLASSES, -1) for d, n in pairs.items()})
+    weight = masked_lm.fitted(codes, table, outer)
+    wide = {d: np.float32(weight[abs(d)]) * x for d, x in outer.items()}
+    near, far = (masked_lm.class_terms(codes, table, o).agg({"class_logprob": "sum"}).collect()[0][0] for o in (None, wide))
+    assert weight[3] > 0 and far > near + 50
