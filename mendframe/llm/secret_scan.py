@@ -2,13 +2,14 @@
 
 Two first-order models over characters, one of random strings and one of
 ordinary identifiers, are trained from labelled samples: values that the strict
-patterns matched, and plain words.  A longer token with a digit in it is a
-secret when the random model explains it better: its log-likelihood ratio for
-each transition and in all must reach a threshold.
+patterns matched, and words and identifiers outside them that recur.  A token of 12
+characters or more is a secret when the random model explains it better: its
+log-likelihood ratio for each transition and in all must reach a threshold.
 
 Transitions are counted by Spark; the driver sees at most 64 * 64 counts for each
-model.  Strict spans always stay; tokens are added where no strict span
-overlaps them.
+model.  Strict spans always stay.  Of a token that they overlap, the parts
+outside are looked at: those of 12 characters or more by themselves, shorter
+ones of letters and digits with the whole token, unless it holds an assignment.
 
 Defined cases: a null or empty text has no spans; repeated rows count as often
 as they stand; without samples both models are uniform and nothing is added;
@@ -27,17 +28,22 @@ from pyspark.sql import functions as F
 from mendframe.functions.text import let
 from mendframe.sources.workspace import Workspace
 
-from .spans import found, found_if, joined
+from .spans import SPAN, found, found_if, joined
 
 KINDS = ["assign", "access", "hex", "random"]
 KEY = r"(?i:password|passwd|secret|token|api_?key)"
 VALUE = r"[A-Za-z0-9+/_.=-]"
 ASSIGN = rf"""{KEY}["']?\x20*+[:=]\x20*+["']?{VALUE}++"""
 VALUE_AT_END = rf"""^{KEY}["']?\x20*+[:=]\x20*+["']?({VALUE}++)$"""
+ASSIGN_KEY = rf"""({KEY}["']?\x20*+[:=]\x20*+["']?){VALUE}++"""
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"[0-9a-f]{16,}+"
-#: A token with a digit in it.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+#: Least length of a token that is scored.
+LONG = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LONG},}}+"
+#: Words, numbers, and identifiers that end in digits, as samples of what isn't random.
+ORDINARY = (r"(?<![A-Za-z0-9])(?:[A-Za-z_]{6,}+(?![A-Za-z0-9])"
+            r"|(?<![+/_=-])(?=[A-Za-z0-9_]{6})(?:[A-Za-z]{3,}+_*+)*+[0-9]++(?![A-Za-z0-9+/_=-]))")
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits
 STATES = 64
 #: Sizes of the labelled samples (give or take their square roots): matched values, and documents whose words are the
@@ -60,15 +66,31 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _free_parts(x: Column, over: Column) -> Column:
+    """Array of (s, e, m): the token where no strict span is over it, else the parts outside them that can be scored."""
+    none = F.array().cast(SPAN)
+
+    def cut(acc: Column, b: Column) -> Column:
+        part = F.array(F.struct(acc["at"].alias("s"), b["s"].alias("e"), F.substring(x["m"], acc["at"] - x["s"] + 1, b["s"] - acc["at"]).alias("m"))).cast(SPAN)
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], F.concat(acc["out"], part)).otherwise(acc["out"]).alias("out"))
+
+    stops = F.concat(F.sort_array(F.transform(over, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))), F.array(F.struct(x["e"].alias("s"), x["e"].alias("e"))))
+    parts = F.aggregate(stops, F.struct(x["s"].alias("at"), none.alias("out")), cut, lambda acc: acc["out"])
+    assigned = F.exists(over, lambda b: b["kind"] == 0)
+    scored = F.transform(parts, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), F.when(F.length(p["m"]) >= LONG, p["m"]).when(
+        ~assigned & p["m"].rlike("^[A-Za-z0-9]+$"), x["m"]).alias("m")))
+    return F.when(F.size(over) == 0, F.array(x)).otherwise(F.filter(scored, lambda p: p["m"].isNotNull()))
+
+
 def candidates(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
-    """``carry`` (doc_id if not given) and spans: (kind, s, e, m) of strict kinds and of long tokens with a digit."""
+    """``carry`` (doc_id if not given) and spans: (kind, s, e, m) of strict kinds and of long tokens; ``m`` is what is scored."""
     rows = docs.select(*(carry or [F.col("doc_id")]), F.coalesce("text", F.lit("")).alias("_text"))
     names, text = rows.columns[:-1], F.col("_text")
     rows = rows.withColumns({f"_{k}": v for k, v in base_spans(text).items()})
     kind = lambda k, xs: F.transform(xs, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
     rows = rows.withColumn("_strict", F.concat(*(kind(i, f"_{k}") for i, k in enumerate(KINDS[:3]))))
-    free = lambda x: ~F.exists("_strict", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    tokens = F.filter(found_if(text.rlike("[0-9]"), text, TOKEN), free)
+    tokens = F.flatten(F.transform(found(text, TOKEN), lambda x: _free_parts(x, F.filter(
+        "_strict", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))))
     return rows.select(*names, F.concat("_strict", kind(3, tokens)).alias("spans"))
 
 
@@ -85,9 +107,9 @@ def _transitions(token: Column) -> Column:
 
 
 def _model(tokens: DataFrame) -> list[float]:
-    """Log-probabilities of all transitions from (token) rows, with half a count added to each."""
+    """Log-probabilities of all transitions from (token, n) rows, with half a count added to each."""
     counts = [[0.5] * STATES for _ in range(STATES)]
-    for r in tokens.select(F.explode(_transitions(F.col("token"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in tokens.select(F.explode(_transitions(F.col("token"))).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n")).collect():
         counts[r["t"] // STATES][r["t"] % STATES] += r["n"]
     return [math.log(x / sum(row)) for row in counts for x in row]
 
@@ -104,8 +126,11 @@ def train(docs: DataFrame, rows: DataFrame) -> list[float]:
         F.when(F.col("x.kind") == 0, F.regexp_extract("x.m", VALUE_AT_END, 1)).otherwise(F.col("x.m")).alias("token")).distinct()
     random = _sample(strict, SAMPLE_VALUES, "token")
     sample = _sample(docs.select("doc_id", "text"), SAMPLE_DOCS, "doc_id")
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z_]{6,}+(?![A-Za-z0-9])"), F.lit(0))).alias("token"))
-    many, few = _model(random), _model(words)
+    outside = F.regexp_replace(F.regexp_replace("text", ASSIGN_KEY, "$1 "), f"{ACCESS}|{HEX}", " ")
+    words = sample.select(F.explode(F.regexp_extract_all(outside, F.lit(ORDINARY), F.lit(0))).alias("token"), F.xxhash64("text").alias("of"))
+    # random strings stand in one text; words recur
+    words = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("of").alias("texts")).where("texts > 1")
+    many, few = _model(random.withColumn("n", F.lit(1))), _model(words)
     return [a - b for a, b in zip(many, few, strict=True)]
 
 

@@ -136,3 +136,25 @@ def test_kept_documents_are_unchanged(spark, sf):
     judged = {r["doc_id"] for r in B.rows(quality_rules.judged(docs, labels, Workspace(spark))) if r["kept"]}
     assert kept.columns == docs.columns
     assert {r.doc_id: r.text for r in kept.collect()} == {i: texts[i] for i in judged}
+
+
+def test_random_tokens_without_digits_short_and_around_strict_spans(spark):
+    import random
+    import string
+
+    draw, hexes = random.Random(6), "0123456789abcdef"
+    make = lambda n, of=string.ascii_letters + string.digits: "".join(draw.choice(of) for _ in range(n))
+    words = ["connection", "timeout", "maximum", "retries", "customer", "repository", "container", "interface", "response", "handler"]
+    texts = [f"password = {make(32)} {' '.join(words)} {'_'.join(draw.sample(words, 3))}_2 {words[i % 10]}{i}" for i in range(300)]
+    letters = [f"see {make(24, string.ascii_letters)} there" for _ in range(20)]
+    short = [f"see {make(14)} there" for _ in range(20)]
+    names = [f"see {''.join(draw.sample(words, 2))}{i} there {'_'.join(draw.sample(words, 2))}_{i}" for i in range(20)]
+    around = [f"see {make(20)}G{make(20, hexes)}Z{make(5)} there" for _ in range(20)]
+    docs = B.awkward(spark, texts + letters + short + names + around)
+    got = {r["doc_id"]: r["spans"] for r in B.rows(secret_scan.find(docs, Workspace(spark)))}
+    caught = [sum("random" in got[300 + 20 * k + i] for i in range(20)) for k in range(4)]
+    assert caught[0] >= 14 and caught[1] >= 14 and caught[2] <= 1 and caught[3] >= 19, caught
+    clean = {r["doc_id"]: r["text"] for r in B.rows(secret_scan.redacted(docs, Workspace(spark)))}
+    assert sum(set(clean[i].replace("[SECRET]", "")) <= set("see there") for i in range(360, 380)) >= 18
+    path = B.rows(secret_scan.find(B.awkward(spark, [*texts, "see commit/deadbeefdeadbeef there"]), Workspace(spark)))
+    assert [r["spans"] for r in path if r["doc_id"] == 300] == ["hex:11:27"]
