@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.plans.registry import table
 from mendframe.sources.workspace import Workspace
 
-from . import masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
+from . import fill_middle, masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,47 @@ def masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rank_order")
 def rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_order.learn_and_identify(table(spark, sf_dir, "documents"))
+
+#: Units by splitting at newlines; prefix_k is the text of the first k units.
+OP11_SQL = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS parts,
+           sha256('7:' || CAST(doc_id AS VARCHAR)) AS h
+    FROM documents
+), c AS (
+    SELECT *, CAST(len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END AS BIGINT) AS n,
+           CAST(('0x' || substr(h, 1, 8)) AS UBIGINT) AS h1, CAST(('0x' || substr(h, 9, 8)) AS UBIGINT) AS h2,
+           CAST(('0x' || substr(h, 17, 8)) AS UBIGINT) AS h3, CAST(('0x' || substr(h, 25, 8)) AS UBIGINT) AS h4
+    FROM d
+), k AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           (t = '' OR doc_id IS NULL OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100) AS plain
+    FROM c
+), u AS (
+    SELECT *,
+           CASE WHEN a = 0 THEN '' WHEN a < len(parts) THEN array_to_string(parts[1:a], chr(10)) || chr(10) ELSE t END AS upto_a,
+           CASE WHEN b = 0 THEN '' WHEN b < len(parts) THEN array_to_string(parts[1:b], chr(10)) || chr(10) ELSE t END AS upto_b
+    FROM k
+), p AS (
+    SELECT *, upto_a AS prefix, substr(upto_b, length(upto_a) + 1) AS middle, substr(t, length(upto_b) + 1) AS suffix FROM u
+)
+SELECT doc_id, n,
+       CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN plain THEN NULL ELSE CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN plain THEN NULL ELSE CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t
+                   WHEN h4 % 100 < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query("op11_block_rotation", OP11_SQL)
+def block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-the-middle form, with digests of the output and of the text restored from it."""
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("fim_n").alias("n"), F.col("fim_form").alias("form"),
+                       F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+                       F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored().cast("binary"), 256).alias("restored_sha256"))
