@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.plans.registry import table
 from mendframe.sources.workspace import Workspace
 
-from . import fill_middle, masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
+from . import fill_middle, lexical_search, masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,42 @@ def block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
                        F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
                        F.sha2(fill_middle.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+    FROM documents
+), dn AS (
+    SELECT rid, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM d
+), st AS (
+    SELECT CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS big_n, CAST(coalesce(sum(n), 0) AS BIGINT) AS big_l FROM dn
+), tf AS (
+    SELECT rid, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, doc_id, n, unnest(ts) AS term FROM dn) GROUP BY ALL
+), df AS (
+    SELECT term, count(*) AS df FROM tf GROUP BY term
+), q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark
+), w AS (
+    SELECT q.item_id, q.term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df.df + 1))) AS BIGINT) AS w
+    FROM q JOIN df USING (term), st
+), s AS (
+    SELECT w.item_id, tf.rid, tf.doc_id,
+           sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * big_n) // big_l))))::BIGINT AS score
+    FROM w JOIN tf USING (term), st GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query("op13_max_sketch_search", OP13_SQL)
+def max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item, from block max-sketches and exact rescoring."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark))
