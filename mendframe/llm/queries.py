@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mendframe.plans.registry import table
 from mendframe.sources.workspace import Workspace
 
-from . import fill_middle, lexical_search, masked_lm, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
+from . import fill_middle, lexical_search, masked_lm, web_archive, near_copies, packing, private_data, quality_rules, quote_links, rank_order, secret_scan, slots, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,22 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 def max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents of every benchmark item, from block max-sketches and exact rescoring."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark))
+
+
+OP12_SQL = """
+WITH p AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+    SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN h.head IS NOT NULL AND p.page_id <> h.head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN h.head IS NOT NULL AND p.page_id <> h.head THEN h.head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)
+"""
+
+
+@query("op12_arc_to_warc", OP12_SQL)
+def arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as ARC, converted to WARC with revisits of equal payloads, and read back."""
+    return web_archive.archive_round_trip(table(spark, sf_dir, "pages"), Workspace(spark))
