@@ -10,12 +10,14 @@ holding a term and ``tf`` its occurrences in one.  A term weighs
 
 Method:
 
-1. *Bags*: one pass over the texts gives each document's term counts (written).
-2. *Max-sketches*: documents are taken in blocks of ``BLOCK_DOCS`` where they
-   stand (no shuffle).  Each document's impacts ``(10^9 tf) div (1000 tf + 8 m)``
-   are folded into ``COORDS`` hashed coordinates of its block by maxima, so for
-   any term ``t`` and document ``d`` of the block, its impact is at most the
-   sketch at ``crc32(t) mod COORDS``.  The block row keeps its members' bags.
+1. *Counts*: ``N`` and ``L`` by the JVM's pattern over all texts (one aggregate).
+2. *Bags and max-sketches*, one Python pass written as one table: each
+   document's term counts, and documents taken in blocks of ``BLOCK_DOCS``
+   where they stand (no shuffle).  Each document's impacts
+   ``(10^9 tf) div (1000 tf + 8 m)`` are folded into ``COORDS`` hashed
+   coordinates of its block by maxima (one byte each, rounded up to
+   ``STEP``), so for any term ``t`` and document ``d`` of the block, its
+   impact is at most the sketch at ``crc32(t) mod COORDS``.
 3. *Upper bounds*: queries are looked up in batches, one matrix product per
    batch of blocks: ``bound = sum of w(t) * sketch[coord(t)]`` over the query's
    terms.  ``w >= 0``, so no document of the block scores above it.
@@ -24,21 +26,27 @@ Method:
    is the query's threshold.
 5. *Rescoring until the threshold*: every other block whose bound reaches the
    threshold is scored exactly.  All blocks left have bounds below the 10th
-   best score, so the top 10 is exact.  Candidates are grouped by block and
-   joined to the blocks on their unique id; each block's 10 best per query
-   go on to the final ranking.
+   best score, so the top 10 is exact.  Exact scores are vectorised: the
+   postings of query terms in a batch of documents are spread over their
+   queries by a term-to-(query, weight) list and summed by ``bincount``;
+   each batch's 10 best per query go on to the final ranking.
 
-Scale: bags and blocks are written (shared folder), no step shuffles texts,
+Measured: on the check tables the 10th best score of an item is that of an
+ordinary document, and block maxima of common terms reach it, so most blocks
+stay candidates there; results are exact either way, and the rescoring is
+what keeps the cost down.
+
+Scale: bags and sketches are written (shared folder), no step shuffles texts,
 the only shuffles are the ``df`` count of query terms (map-side combined, so
-a very frequent term is a few partial counts), the join of candidate blocks by
-unique block id and the final ranking over at most 10 rows per candidate
-block.  Queries are taken ``ITEMS_PER_PASS`` at a time, so the matrix and
+a very frequent term is a few partial counts), the semi-join of bags with the
+candidate blocks (broadcast up to a counted number) and the final ranking
+over at most 10 rows per batch and query.  Queries are taken ``ITEMS_PER_PASS`` at a time, so the matrix and
 term lists that go to the workers are bounded.
 
 Defined cases:
 
 * null or empty text, or no term: ``n = 0``, not counted in ``N``, never a result.
-* very long texts: counted whole in one pass; a block row holds its members' bags.
+* very long texts: counted whole in one pass; a bag holds the distinct terms only.
 * ties: equal scores by ascending ``doc_id``, nulls last; ranks unique.
 * repeated rows: each row is a document of its own; the same ``doc_id`` may be ranked twice.
 * null ``doc_id``: a document like any other, ranked after equal scores.
@@ -68,15 +76,18 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOP = 10
 
-#: Documents of a block, hashed coordinates of its sketch, blocks scored first per query.
-BLOCK_DOCS = 128
-COORDS = 4096
+#: Documents of a block, hashed coordinates of its sketch (one byte each), blocks scored first per query.
+BLOCK_DOCS = 64
+COORDS = 65536
 SEED_BLOCKS = 2
+#: Impacts are below 10^6; a sketch byte q stands for impacts up to q * STEP (rounded up, so bounds stay bounds).
+STEP = 3922
+#: Rows turned into Python objects at once.
+SLICE = 256
 #: Queries looked up per pass (their terms and weights go to the workers with the code).
-ITEMS_PER_PASS = 5_000
+ITEMS_PER_PASS = 200
 
-BLOCK_SCHEMA = ("block long, sketch binary, doc_ids array<long>, ns array<long>, "
-                "terms array<array<string>>, tfs array<array<long>>")
+INDEX_SCHEMA = "kind int, block long, doc_id long, n long, terms array<string>, tfs array<long>, sketch binary"
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -95,67 +106,84 @@ def impact(tf: int, m: int) -> int:
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
+def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
+
+
 def coord(term: str) -> int:
     return zlib.crc32(term.encode()) % COORDS
 
 
-def bags(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n, terms, tfs): each document's distinct terms with their counts."""
-    def run(batches):
-        for b in batches:
-            ns, terms, tfs = [], [], []
-            for t in b.column(1).to_pylist():
-                c = Counter(terms_of(t))
-                ns.append(sum(c.values()))
-                terms.append(list(c))
-                tfs.append(list(c.values()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "terms", "tfs"])
-
-    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, n long, terms array<string>, tfs array<long>"))
+def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """N and L, counted by the JVM's own pattern over all texts."""
+    pattern = TERM.pattern
+    n = F.size(F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")),
+                                                "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(pattern), 0))
+    row = docs.select(n.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"),
+                                        F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    return int(row["N"]), int(row["L"])
 
 
-def blocks(bagged: DataFrame, N: int, L: int) -> DataFrame:
-    """Blocks of ``BLOCK_DOCS`` documents as they stand, each with the max-sketch of its members' impacts."""
+def index(docs: DataFrame, N: int, L: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One pass: each document's bag (kind 0) and each block's max-sketch (kind 1), blocks taken where documents stand."""
     def run(batches):
         part = TaskContext.get().partitionId()
         cache: dict[str, int] = {}
-        rows: list = []
-        made = 0
-
-        def emit():
-            nonlocal made, rows
-            sketch = np.zeros(COORDS, np.int32)
-            for _, n, ts, fs in rows:
-                m = doc_m(n, N, L)
-                if ts:
-                    cs = np.fromiter((cache[t] if t in cache else cache.setdefault(t, coord(t)) for t in ts), np.int64, len(ts))
-                    np.maximum.at(sketch, cs, np.fromiter((impact(f, m) for f in fs), np.int64, len(fs)).astype(np.int32))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) | made], pa.int64()), pa.array([sketch.tobytes()], pa.binary()),
-                 pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.int64())),
-                 pa.array([[r[2] for r in rows]], pa.list_(pa.list_(pa.string()))),
-                 pa.array([[r[3] for r in rows]], pa.list_(pa.list_(pa.int64())))],
-                names=["block", "sketch", "doc_ids", "ns", "terms", "tfs"])
-            made += 1
-            rows = []
-            return out
-
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rows.append(row)
-                if len(rows) == BLOCK_DOCS:
-                    yield emit()
-        if rows:
-            yield emit()
-
-    return bagged.select("doc_id", "n", "terms", "tfs").mapInArrow(run, BLOCK_SCHEMA)
+        made, filled = 0, 0
+        sketch = np.zeros(COORDS, np.uint8)
+
+        def block_row():
+            return pa.RecordBatch.from_pydict(
+                {"kind": [1], "block": [(part << 32) | made], "doc_id": [None], "n": [None], "terms": [None], "tfs": [None],
+                 "sketch": [sketch.tobytes()]}, schema=SCHEMA)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                out = {k: [] for k in ("kind", "block", "doc_id", "n", "terms", "tfs", "sketch")}
+                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    c = Counter(terms_of(t))
+                    n = sum(c.values())
+                    if c:
+                        cs = np.fromiter((cache[x] if x in cache else cache.setdefault(x, coord(x)) for x in c), np.int64, len(c))
+                        g = impacts(np.fromiter(c.values(), np.int64, len(c)), doc_m(n, N, L))
+                        np.maximum.at(sketch, cs, (-(-g // STEP)).astype(np.uint8))
+                    for k, v in zip(out, (0, (part << 32) | made, d, n, list(c), list(c.values()), None), strict=True):
+                        out[k].append(v)
+                    filled += 1
+                    if filled == BLOCK_DOCS:
+                        yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+                        out = {k: [] for k in out}
+                        yield block_row()
+                        made, filled = made + 1, 0
+                        sketch[:] = 0
+                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
+        if filled:
+            yield block_row()
+
+    SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
+                        ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+            .mapInArrow(run, INDEX_SCHEMA))
+
+
+def bags(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n, terms, tfs): each text's distinct terms with their counts."""
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                cs = [Counter(terms_of(t)) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([sum(c.values()) for c in cs], pa.int64()), pa.array([list(c) for c in cs], pa.list_(pa.string())),
+                     pa.array([list(c.values()) for c in cs], pa.list_(pa.int64()))], names=["doc_id", "n", "terms", "tfs"])
+
+    return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+            .mapInArrow(run, "doc_id long, n long, terms array<string>, tfs array<long>"))
 
 
 class Queries:
-    """One pass of queries: their ids, distinct terms with weights, and the matrix of their bounds."""
+    """One pass of queries: ids, weighted distinct terms, bound matrix by coordinate, and term to (query, weight) lists."""
 
     def __init__(self, items: list, terms: list[list[str]], df: dict[str, int], N: int):
         self.items = items
@@ -164,79 +192,113 @@ class Queries:
         self.coords = np.array(used, np.int64)
         at = {c: i for i, c in enumerate(used)}
         self.matrix = np.zeros((len(used), len(items)), np.float64)
+        by_term: dict[str, list] = {}
         for j, ws in enumerate(self.weighted):
             for t, w in ws:
                 self.matrix[at[coord(t)], j] += w
+                by_term.setdefault(t, []).append((j, w))
+        self.term_at = {t: i for i, t in enumerate(by_term)}
+        lists = list(by_term.values())
+        self.ptr = np.cumsum([0] + [len(x) for x in lists])
+        self.qs = np.array([j for x in lists for j, _ in x], np.int64)
+        self.ws = np.array([w for x in lists for _, w in x], np.float64)
 
     def bounds(self, sketches: list[bytes]) -> np.ndarray:
-        """(blocks x queries): exact integers below 2^53, so the doubles hold them."""
-        s = np.stack([np.frombuffer(x, np.int32) for x in sketches])[:, self.coords].astype(np.float64)
-        return s @ self.matrix
-
-
-def _seeds(blocked: DataFrame, q: Queries) -> DataFrame:
+        """(blocks x queries): sums of integers below 2^53, exact in doubles."""
+        s = np.stack([np.frombuffer(x, np.uint8) for x in sketches])[:, self.coords].astype(np.float64)
+        return (s * STEP) @ self.matrix
+
+    def scores(self, ns: list[int], terms: list[list[str]], tfs: list[list[int]], N: int, L: int) -> np.ndarray:
+        """(documents x queries) exact scores, from the postings of query terms alone."""
+        rows, idx, tf = [], [], []
+        for k, (ts, fs) in enumerate(zip(terms, tfs, strict=True)):
+            for t, f in zip(ts, fs, strict=True):
+                i = self.term_at.get(t)
+                if i is not None:
+                    rows.append(k)
+                    idx.append(i)
+                    tf.append(f)
+        nq = len(self.items)
+        if not rows:
+            return np.zeros((len(ns), nq), np.int64)
+        rows, idx, tf = np.array(rows, np.int64), np.array(idx, np.int64), np.array(tf, np.int64)
+        m = np.array([doc_m(n, N, L) for n in ns], np.int64)[rows]
+        g = impacts(tf, m)
+        counts = self.ptr[idx + 1] - self.ptr[idx]
+        pair_doc = np.repeat(rows, counts)
+        starts = np.repeat(self.ptr[idx], counts)
+        offs = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        slot = starts + offs
+        flat = pair_doc * nq + self.qs[slot]
+        # exact: each term below 2.6e10, sums below 2^53
+        total = np.bincount(flat, weights=np.repeat(g, counts).astype(np.float64) * self.ws[slot], minlength=len(ns) * nq)
+        return total.reshape(len(ns), nq).astype(np.int64)
+
+
+def _seeds(sketches: DataFrame, q: Queries) -> DataFrame:
     def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            bound = q.bounds(b.column(1).to_pylist())
-            ids = np.array(b.column(0).to_pylist(), np.int64)
-            k = min(SEED_BLOCKS, len(ids))
-            top = np.argpartition(-bound, k - 1, axis=0)[:k]
-            qi, bi, bd = [], [], []
-            for j in range(bound.shape[1]):
-                for i in top[:, j]:
-                    if bound[i, j] > 0:
-                        qi.append(j)
-                        bi.append(int(ids[i]))
-                        bd.append(int(bound[i, j]))
-            yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int32()), pa.array(bi, pa.int64()), pa.array(bd, pa.int64())],
-                                             names=["q", "block", "bound"])
-
-    local = blocked.select("block", "sketch").mapInArrow(run, "q int, block long, bound long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                if b.num_rows == 0:
+                    continue
+                bound = q.bounds(b.column(1).to_pylist())
+                ids = np.array(b.column(0).to_pylist(), np.int64)
+                k = min(SEED_BLOCKS, len(ids))
+                top = np.argpartition(-bound, k - 1, axis=0)[:k]
+                qi, bi, bd = [], [], []
+                for j in range(bound.shape[1]):
+                    for i in top[:, j]:
+                        if bound[i, j] > 0:
+                            qi.append(j)
+                            bi.append(int(ids[i]))
+                            bd.append(int(bound[i, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int32()), pa.array(bi, pa.int64()), pa.array(bd, pa.int64())],
+                                                 names=["q", "block", "bound"])
+
+    local = sketches.select("block", "sketch").mapInArrow(run, "q int, block long, bound long")
     w = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
-    return local.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SEED_BLOCKS).select("q", "block")
+    return local.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SEED_BLOCKS).select("block").distinct()
 
 
-def _candidates(blocked: DataFrame, q: Queries, threshold: np.ndarray) -> DataFrame:
-    """(q, block) of every block whose bound reaches the query's threshold."""
+def _candidates(sketches: DataFrame, q: Queries, threshold: np.ndarray) -> DataFrame:
+    """Blocks whose bound reaches the threshold of any query."""
     def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            bound = q.bounds(b.column(1).to_pylist())
-            i, j = np.nonzero(bound >= threshold[None, :])
-            ids = np.array(b.column(0).to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(ids[i])], names=["q", "block"])
-
-    return blocked.select("block", "sketch").mapInArrow(run, "q int, block long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                if b.num_rows == 0:
+                    continue
+                hit = (q.bounds(b.column(1).to_pylist()) >= threshold[None, :]).any(axis=1)
+                ids = np.array(b.column(0).to_pylist(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit])], names=["block"])
 
+    return sketches.select("block", "sketch").mapInArrow(run, "block long").distinct()
 
-def _rescored(blocked: DataFrame, wanted: DataFrame, q: Queries, N: int, L: int) -> DataFrame:
-    """(q, doc_id, score): the 10 best documents of each wanted (query, block), exactly scored."""
-    per_block = wanted.groupBy("block").agg(F.collect_set("q").alias("qs"))
 
+def _rescored(bagged: DataFrame, wanted: DataFrame, q: Queries, N: int, L: int) -> DataFrame:
+    """(q, doc_id, score): exact scores of the documents of the wanted blocks, the 10 best of each batch and query."""
     def run(batches):
-        for b in batches:
-            qs_, ds_, ss_ = [], [], []
-            cols = [b.column(i).to_pylist() for i in range(6)]
-            for qs, doc_ids, ns, terms, tfs in zip(*cols[1:], strict=True):
-                docs = [(d, doc_m(n, N, L), dict(zip(ts, fs, strict=True))) for d, n, ts, fs in zip(doc_ids, ns, terms, tfs, strict=True)]
-                for j in qs:
-                    scored = []
-                    for d, m, bag in docs:
-                        s = sum(w * impact(bag[t], m) for t, w in q.weighted[j] if t in bag)
-                        if s > 0:
-                            scored.append((-s, d is None, d if d is not None else 0, d))
-                    for neg, _, _, d in sorted(scored)[:TOP]:
-                        qs_.append(j)
-                        ds_.append(d)
-                        ss_.append(-neg)
-            yield pa.RecordBatch.from_arrays([pa.array(qs_, pa.int32()), pa.array(ds_, pa.int64()), pa.array(ss_, pa.int64())],
-                                             names=["q", "doc_id", "score"])
-
-    joined = per_block.join(blocked, "block").select("block", "qs", "doc_ids", "ns", "terms", "tfs")
-    return joined.mapInArrow(run, "q int, doc_id long, score long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                doc_ids, ns, terms, tfs = (b.column(i).to_pylist() for i in range(4))
+                score = q.scores(ns, terms, tfs, N, L)
+                order = np.array(sorted(range(len(doc_ids)), key=lambda k: (doc_ids[k] is None, doc_ids[k] or 0)), np.int64)
+                qs_, ds_, ss_ = [], [], []
+                for j in range(score.shape[1]):
+                    col = score[order, j]
+                    best = order[np.argsort(-col, kind="stable")[:TOP]]
+                    for k in best:
+                        if score[k, j] > 0:
+                            qs_.append(j)
+                            ds_.append(doc_ids[k])
+                            ss_.append(int(score[k, j]))
+                yield pa.RecordBatch.from_arrays([pa.array(qs_, pa.int32()), pa.array(ds_, pa.int64()), pa.array(ss_, pa.int64())],
+                                                 names=["q", "doc_id", "score"])
+
+    picked = bagged.join(keys.small(wanted), "block", "left_semi")
+    return picked.select("doc_id", "n", "terms", "tfs").mapInArrow(run, "q int, doc_id long, score long")
 
 
 def _top(scored: DataFrame) -> DataFrame:
@@ -248,10 +310,10 @@ def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "te
            query_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, rank, doc_id, score): each query's 10 best documents with a score above 0."""
     spark = docs.sparkSession
-    bagged = work.save(bags(docs, text, doc_id), "search_bags")
-    stats = bagged.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
-    N, L = int(stats["N"]), int(stats["L"])
-    blocked = work.save(blocks(bagged, N, L), "search_blocks")
+    N, L = corpus_counts(docs, text)
+    indexed = work.save(index(docs, N, L, text, doc_id), "search_index")
+    bagged = indexed.filter(F.col("kind") == 0).select("block", "doc_id", "n", "terms", "tfs")
+    sketches = indexed.filter(F.col("kind") == 1).select("block", "sketch")
 
     item_terms = work.save(bags(queries, query_text, item_id).select(
         F.col("doc_id").alias("item_id"), F.explode("terms").alias("term")).distinct(), "search_items")
@@ -268,12 +330,12 @@ def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "te
         df = {r["term"]: r["df"] for r in bagged.select(F.explode("terms").alias("term"))
               .join(F.broadcast(vocab), "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
         q = Queries(chunk, [sorted(got.get(i, [])) for i in chunk], df, N)
-        seeds = work.save(_seeds(blocked, q), f"search_seeds_{start}")
-        first = work.save(_rescored(blocked, seeds, q, N, L), f"search_first_{start}")
+        seeds = work.save(_seeds(sketches, q), f"search_seeds_{start}")
+        first = work.save(_rescored(bagged, seeds, q, N, L), f"search_first_{start}")
         tenth = {r["q"]: r["score"] for r in _top(first).filter(F.col("rank") == TOP).select("q", "score").collect()}
         threshold = np.array([float(tenth.get(j, 1)) for j in range(len(chunk))])
-        rest = _candidates(blocked, q, threshold).join(keys.small(seeds), ["q", "block"], "left_anti")
-        scored = first.unionByName(_rescored(blocked, rest, q, N, L))
+        rest = work.save(_candidates(sketches, q, threshold).join(keys.small(seeds), "block", "left_anti"), f"search_rest_{start}")
+        scored = first.unionByName(_rescored(bagged, rest, q, N, L))
         ids = spark.createDataFrame([(j, i) for j, i in enumerate(chunk)], "q int, item_id long")
         results.append(_top(scored).join(F.broadcast(ids), "q").select(
             "item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
