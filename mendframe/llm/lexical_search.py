@@ -10,10 +10,11 @@ holding a term and ``tf`` its occurrences in one.  A term weighs
 
 Method:
 
-1. *Counts*: ``N`` and ``L`` by the JVM's pattern over all texts (one aggregate).
-2. *Bags and max-sketches*, one Python pass written as one table: each
-   document's term counts, and documents taken in blocks of ``BLOCK_DOCS``
-   where they stand (no shuffle).  Each document's impacts
+1. *Bags*, one Python pass over the texts (written): each document's distinct
+   terms with counts and sketch coordinates, and its block: documents are taken
+   in blocks of ``BLOCK_DOCS`` where they stand (no shuffle).  ``N`` and ``L``
+   are one aggregate over the bags' ``n``.
+2. *Max-sketches*, numpy over the Arrow buffers of the bags: each document's impacts
    ``(10^9 tf) div (1000 tf + 8 m)`` are folded into ``COORDS`` hashed
    coordinates of its block by maxima (one byte each, rounded up to
    ``STEP``), so for any term ``t`` and document ``d`` of the block, its
@@ -63,6 +64,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ SLICE = 256
 #: Queries looked up per pass (their terms and weights go to the workers with the code).
 ITEMS_PER_PASS = 200
 
-INDEX_SCHEMA = "kind int, block long, doc_id long, n long, terms array<string>, tfs array<long>, sketch binary"
+INDEX_SCHEMA = "block long, doc_id long, n long, terms array<string>, tfs array<long>, coords array<int>"
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -114,59 +116,55 @@ def coord(term: str) -> int:
     return zlib.crc32(term.encode()) % COORDS
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """N and L, counted by the JVM's own pattern over all texts."""
-    pattern = TERM.pattern
-    n = F.size(F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")),
-                                                "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(pattern), 0))
-    row = docs.select(n.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"),
-                                        F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
-    return int(row["N"]), int(row["L"])
-
-
-def index(docs: DataFrame, N: int, L: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One pass: each document's bag (kind 0) and each block's max-sketch (kind 1), blocks taken where documents stand."""
+def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Bags: each document's distinct terms, counts and sketch coordinates, with its block (documents where they stand)."""
     def run(batches):
         part = TaskContext.get().partitionId()
         cache: dict[str, int] = {}
-        made, filled = 0, 0
-        sketch = np.zeros(COORDS, np.uint8)
-
-        def block_row():
-            return pa.RecordBatch.from_pydict(
-                {"kind": [1], "block": [(part << 32) | made], "doc_id": [None], "n": [None], "terms": [None], "tfs": [None],
-                 "sketch": [sketch.tobytes()]}, schema=SCHEMA)
-
+        seen = 0
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                out = {k: [] for k in ("kind", "block", "doc_id", "n", "terms", "tfs", "sketch")}
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    c = Counter(terms_of(t))
-                    n = sum(c.values())
-                    if c:
-                        cs = np.fromiter((cache[x] if x in cache else cache.setdefault(x, coord(x)) for x in c), np.int64, len(c))
-                        g = impacts(np.fromiter(c.values(), np.int64, len(c)), doc_m(n, N, L))
-                        np.maximum.at(sketch, cs, (-(-g // STEP)).astype(np.uint8))
-                    for k, v in zip(out, (0, (part << 32) | made, d, n, list(c), list(c.values()), None), strict=True):
-                        out[k].append(v)
-                    filled += 1
-                    if filled == BLOCK_DOCS:
-                        yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
-                        out = {k: [] for k in out}
-                        yield block_row()
-                        made, filled = made + 1, 0
-                        sketch[:] = 0
-                yield pa.RecordBatch.from_pydict(out, schema=SCHEMA)
-        if filled:
-            yield block_row()
-
-    SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()),
-                        ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int64())), ("sketch", pa.binary())])
+                cs = [Counter(terms_of(t)) for t in b.column(1).to_pylist()]
+                blocks = [(part << 32) | ((seen + k) // BLOCK_DOCS) for k in range(len(cs))]
+                seen += len(cs)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(blocks, pa.int64()), b.column(0), pa.array([sum(c.values()) for c in cs], pa.int64()),
+                     pa.array([list(c) for c in cs], pa.list_(pa.string())), pa.array([list(c.values()) for c in cs], pa.list_(pa.int64())),
+                     pa.array([[cache[x] if x in cache else cache.setdefault(x, coord(x)) for x in c] for c in cs], pa.list_(pa.int32()))],
+                    names=["block", "doc_id", "n", "terms", "tfs", "coords"])
+
     return (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
             .mapInArrow(run, INDEX_SCHEMA))
 
 
+def sketches(bagged: DataFrame, N: int, L: int) -> DataFrame:
+    """(block, sketch): max-sketch of the impacts of each block's documents, by numpy over the Arrow buffers.
+
+    A block read in two pieces gives two rows; each bounds its own documents.
+    """
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            block = b.column(0).to_numpy(zero_copy_only=False)
+            n = b.column(1).to_numpy(zero_copy_only=False)
+            tfs, coords = b.column(2), b.column(3)
+            tf = tfs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            cs = coords.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = pc.list_parent_indices(tfs).to_numpy(zero_copy_only=False)
+            m = 10 + (90 * n * N) // L if L else np.full(len(n), 10, np.int64)
+            q = (-(-impacts(tf, m[doc]) // STEP)).astype(np.uint8)
+            ids, local = np.unique(block, return_inverse=True)
+            sketch = np.zeros(len(ids) * COORDS, np.uint8)
+            np.maximum.at(sketch, local[doc] * COORDS + cs, q)
+            sketch = sketch.reshape(len(ids), COORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                                             names=["block", "sketch"])
+
+    return bagged.select("block", "n", "tfs", "coords").mapInArrow(run, "block long, sketch binary")
+
+
 def bags(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n, terms, tfs): each text's distinct terms with their counts."""
     def run(batches):
@@ -197,7 +195,7 @@ class Queries:
             for t, w in ws:
                 self.matrix[at[coord(t)], j] += w
                 by_term.setdefault(t, []).append((j, w))
-        self.term_at = {t: i for i, t in enumerate(by_term)}
+        self.vocab = pa.array(list(by_term), pa.string())
         lists = list(by_term.values())
         self.ptr = np.cumsum([0] + [len(x) for x in lists])
         self.qs = np.array([j for x in lists for j, _ in x], np.int64)
@@ -208,31 +206,28 @@ class Queries:
         s = np.stack([np.frombuffer(x, np.uint8) for x in sketches])[:, self.coords].astype(np.float64)
         return (s * STEP) @ self.matrix
 
-    def scores(self, ns: list[int], terms: list[list[str]], tfs: list[list[int]], N: int, L: int) -> np.ndarray:
+    def scores(self, n: np.ndarray, terms: pa.Array, tfs: pa.Array, N: int, L: int) -> np.ndarray:
         """(documents x queries) exact scores, from the postings of query terms alone."""
-        rows, idx, tf = [], [], []
-        for k, (ts, fs) in enumerate(zip(terms, tfs, strict=True)):
-            for t, f in zip(ts, fs, strict=True):
-                i = self.term_at.get(t)
-                if i is not None:
-                    rows.append(k)
-                    idx.append(i)
-                    tf.append(f)
         nq = len(self.items)
-        if not rows:
-            return np.zeros((len(ns), nq), np.int64)
-        rows, idx, tf = np.array(rows, np.int64), np.array(idx, np.int64), np.array(tf, np.int64)
-        m = np.array([doc_m(n, N, L) for n in ns], np.int64)[rows]
+        flat = terms.flatten()
+        idx = pc.index_in(flat, value_set=self.vocab)
+        hit = pc.is_valid(idx)
+        rows = pc.list_parent_indices(terms).filter(hit).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(rows) == 0:
+            return np.zeros((len(n), nq), np.int64)
+        idx = idx.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64)
+        tf = tfs.flatten().filter(hit).to_numpy(zero_copy_only=False).astype(np.int64)
+        m = (10 + (90 * n * N) // L if L else np.full(len(n), 10, np.int64))[rows]
         g = impacts(tf, m)
         counts = self.ptr[idx + 1] - self.ptr[idx]
         pair_doc = np.repeat(rows, counts)
         starts = np.repeat(self.ptr[idx], counts)
         offs = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         slot = starts + offs
-        flat = pair_doc * nq + self.qs[slot]
+        flat_at = pair_doc * nq + self.qs[slot]
         # exact: each term below 2.6e10, sums below 2^53
-        total = np.bincount(flat, weights=np.repeat(g, counts).astype(np.float64) * self.ws[slot], minlength=len(ns) * nq)
-        return total.reshape(len(ns), nq).astype(np.int64)
+        total = np.bincount(flat_at, weights=np.repeat(g, counts).astype(np.float64) * self.ws[slot], minlength=len(n) * nq)
+        return total.reshape(len(n), nq).astype(np.int64)
 
 
 def _seeds(sketches: DataFrame, q: Queries) -> DataFrame:
@@ -282,8 +277,8 @@ def _rescored(bagged: DataFrame, wanted: DataFrame, q: Queries, N: int, L: int)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                doc_ids, ns, terms, tfs = (b.column(i).to_pylist() for i in range(4))
-                score = q.scores(ns, terms, tfs, N, L)
+                doc_ids = b.column(0).to_pylist()
+                score = q.scores(b.column(1).to_numpy(zero_copy_only=False), b.column(2), b.column(3), N, L)
                 order = np.array(sorted(range(len(doc_ids)), key=lambda k: (doc_ids[k] is None, doc_ids[k] or 0)), np.int64)
                 qs_, ds_, ss_ = [], [], []
                 for j in range(score.shape[1]):
@@ -310,10 +305,10 @@ def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "te
            query_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, rank, doc_id, score): each query's 10 best documents with a score above 0."""
     spark = docs.sparkSession
-    N, L = corpus_counts(docs, text)
-    indexed = work.save(index(docs, N, L, text, doc_id), "search_index")
-    bagged = indexed.filter(F.col("kind") == 0).select("block", "doc_id", "n", "terms", "tfs")
-    sketches = indexed.filter(F.col("kind") == 1).select("block", "sketch")
+    bagged = work.save(index(docs, text, doc_id), "search_bags")
+    stats = bagged.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    N, L = int(stats["N"]), int(stats["L"])
+    sketched = work.save(sketches(bagged, N, L), "search_sketches")
 
     item_terms = work.save(bags(queries, query_text, item_id).select(
         F.col("doc_id").alias("item_id"), F.explode("terms").alias("term")).distinct(), "search_items")
@@ -330,11 +325,11 @@ def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "te
         df = {r["term"]: r["df"] for r in bagged.select(F.explode("terms").alias("term"))
               .join(F.broadcast(vocab), "term").groupBy("term").agg(F.count("*").alias("df")).collect()}
         q = Queries(chunk, [sorted(got.get(i, [])) for i in chunk], df, N)
-        seeds = work.save(_seeds(sketches, q), f"search_seeds_{start}")
+        seeds = work.save(_seeds(sketched, q), f"search_seeds_{start}")
         first = work.save(_rescored(bagged, seeds, q, N, L), f"search_first_{start}")
         tenth = {r["q"]: r["score"] for r in _top(first).filter(F.col("rank") == TOP).select("q", "score").collect()}
         threshold = np.array([float(tenth.get(j, 1)) for j in range(len(chunk))])
-        rest = work.save(_candidates(sketches, q, threshold).join(keys.small(seeds), "block", "left_anti"), f"search_rest_{start}")
+        rest = work.save(_candidates(sketched, q, threshold).join(keys.small(seeds), "block", "left_anti"), f"search_rest_{start}")
         scored = first.unionByName(_rescored(bagged, rest, q, N, L))
         ids = spark.createDataFrame([(j, i) for j, i in enumerate(chunk)], "q int, item_id long")
         results.append(_top(scored).join(F.broadcast(ids), "q").select(
