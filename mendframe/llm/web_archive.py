@@ -56,6 +56,8 @@ ARCHIVE_DATE = "20240101000000"
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
               2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Archives are gzip text parts; the fastest zlib level, as both archives are written once and read a few times.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 PARSED = ("path string, offset long, version int, url string, ip string, date string, page_id long, "
           "payload_bytes long, digest binary")
@@ -115,7 +117,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([arc.record(*r) for r in rows], pa.string())], names=["value"])
 
     (pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-     .mapInArrow(run, "value string").write.mode("overwrite").option("compression", "gzip").text(path))
+     .mapInArrow(run, "value string").write.mode("overwrite").options(**GZIP).text(path))
 
 
 def parse_arc(data: bytes):
@@ -191,7 +193,7 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> str:
 def write_warc(spark: SparkSession, arc_path: str, decided: DataFrame, path: str) -> None:
     """WARC files from the ARC files and the decision of each record."""
     per_file = decided.groupBy("path").agg(F.collect_list(F.struct(
-        "offset", "record_type", "head_path", "head_offset", "head_url", "head_date")).alias("decisions"))
+        "offset", "digest", "record_type", "head_path", "head_offset", "head_url", "head_date")).alias("decisions"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(arc_path).select("path", "content")
 
     def run(batches):
@@ -210,7 +212,7 @@ def write_warc(spark: SparkSession, arc_path: str, decided: DataFrame, path: str
                     fields, body = split_http(block)
                     common = [("WARC-Record-ID", record_id(p, offset)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", url),
                               ("WARC-IP-Address", ip), ("Content-Type", "application/http; msgtype=response"),
-                              ("WARC-Payload-Digest", sha1_label(body))]
+                              ("WARC-Payload-Digest", "sha1:" + base64.b32encode(d["digest"]).decode())]
                     if d["record_type"] == "revisit":
                         head = block[:len(block) - len(body)]
                         out.append(warc_record(
@@ -223,7 +225,7 @@ def write_warc(spark: SparkSession, arc_path: str, decided: DataFrame, path: str
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     (files.join(per_file, "path").select("path", "content", "decisions").mapInArrow(run, "value string")
-     .write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n").text(path))
+     .write.mode("overwrite").options(**GZIP).option("lineSep", "\r\n").text(path))
 
 
 def parse_warc(data: bytes):
