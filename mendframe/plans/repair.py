@@ -156,14 +156,15 @@ def _without_rows(rows: DataFrame, keys: DataFrame, groups: DataFrame, ws: Works
 def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | None = None,
            normalize_numbers: bool = False, limits: Limits = Limits(), strict_compat: bool = False,
            blank_is_empty: bool | None = None, respect_selected_header: bool | None = None,
-           any_line_end: bool = False, work_dir: str | None = None) -> RepairResult:
+           work_dir: str | None = None) -> RepairResult:
     """Repair and clean delimited text files.
 
     near_dupes: None, 'preview' (count only) or 'remove'.  strict_compat keeps
     blank rows that are only padded and adds generated headers even when the
     first line was picked as header; both can be set on their own.
-    any_line_end reads files that have only CR line ends in parallel, without
-    the line-end and BOM facts.
+    Files are cut at LF; a file whose facts show CR line ends (or a segment
+    too long to keep) is read again, cut at its own separator, so large files
+    of CR line ends are read in parallel with exact BOM and line-end facts.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if near_dupes not in (None, "preview", "remove"):
@@ -176,12 +177,18 @@ def repair(spark: SparkSession, paths: str | Sequence[str], near_dupes: str | No
     listed = ws.save(S.list_files(spark, paths).withColumn(
         "reason", admission_verdict(name="name", n_bytes="n_bytes", max_bytes=limits.max_bytes)), "listed")
 
-    # 2. Raw segments, written once.
-    segments = S.without_files(S.read_segments(spark, paths, any_line_end), listed.filter("reason IS NOT NULL"))
+    # 2. Raw segments, written once; files that the LF scan can't serve are read again at their own separator.
+    segments = S.without_files(S.read_segments(spark, paths, "\n", S.MAX_SEGMENT_BYTES), listed.filter("reason IS NOT NULL"))
     bronze = ws.save(segments, "bronze")
-    blocks = S.number_blocks(S.block_facts(bronze))
-    blocks = ws.save(blocks, "blocks")
-    files = ws.save(S.file_facts(blocks, exact=not any_line_end), "files")
+    blocks = ws.save(S.number_blocks(S.block_facts(bronze)), "blocks")
+    again = ws.save(S.second_scan(listed, blocks), "second_scan")
+    by_sep = {r["sep"]: r["files"] for r in again.groupBy("sep").agg(F.collect_list("file").alias("files")).collect()}
+    if by_sep:
+        cut = [S.read_segments(spark, [S.readable(f) for f in files], sep) for sep, files in sorted(by_sep.items())]
+        cut = ws.save(cut[0] if len(cut) == 1 else cut[0].unionByName(cut[1]), "bronze_cut")
+        bronze = ws.save(S.without_files(bronze, again).unionByName(cut), "bronze_all")
+        blocks = ws.save(S.without_files(blocks, again).unionByName(S.number_blocks(S.block_facts(cut))), "blocks_all")
+    files = ws.save(S.file_facts(blocks), "files")
     facts = blocks.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("inner_cr"), F.lit(False)).alias("inner_cr"),
         F.coalesce(F.bool_or("has_quote"), F.lit(False)).alias("quote"),

@@ -10,7 +10,9 @@ task.  Facts about blocks and files are small tables that are joined back by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ BROADCAST_ROWS = 50_000
 # the path: at most some 100 bytes each.  Only beyond that are rows shuffled by (file, block).
 NARROW_ROWS = 1_000_000
 
+# The first scan cuts at LF and skips a segment longer than this (a file of CR line ends is one such segment); the
+# bytes it skipped show in the file's facts, and the file is read again with the separator its facts call for.
+MAX_SEGMENT_BYTES = 64 << 20
+
 
 def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file, n_bytes, modified, name) without reading any content.
@@ -49,13 +55,16 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return listed.withColumn("name", F.url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))))
 
 
-def read_segments(spark: SparkSession, paths: Sequence[str], any_line_end: bool = False) -> DataFrame:
-    """(file, file_bytes, blk, mid, raw): the LF-separated segments as bytes.
+def read_segments(spark: SparkSession, paths: Sequence[str], sep: str = "\n", max_segment: int | None = None) -> DataFrame:
+    """(file, file_bytes, blk, mid, raw, sep): the segments between separators, as bytes.
 
-    ``any_line_end`` also cuts at CR and CRLF, which are then not kept; for
-    large files whose only line ends are CRs.
+    Every byte but the separators is kept; the separator is a column, so the
+    file size still tells what the reader dropped (a BOM, the final one).
+    With ``max_segment`` a longer segment is skipped whole (read, not kept).
     """
-    reader = spark.read if any_line_end else spark.read.option("lineSep", "\n")
+    reader = spark.read.option("lineSep", sep)
+    if max_segment:
+        reader = reader.option("mapreduce.input.linerecordreader.line.maxlength", str(max_segment))
     text = reader.text(list(paths))
     return text.select(
         F.col("_metadata.file_path").alias("file"),
@@ -63,9 +72,33 @@ def read_segments(spark: SparkSession, paths: Sequence[str], any_line_end: bool
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"),
         F.col("value").cast("binary").alias("raw"),
+        F.lit(sep).alias("sep"),
     )
 
 
+def second_scan(listed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(file, sep) of the files that the LF scan can't serve, from its block facts.
+
+    A file is cut at CR when bare CRs outnumber its LF segments, or when the
+    scan skipped its bytes and found at most one LF in it (a large file of CR
+    line ends).  A file with skipped bytes and more LFs has a segment above
+    ``MAX_SEGMENT_BYTES`` and is read again at LF without that bound.
+    """
+    per = blocks.groupBy("file").agg(F.sum("n_segs").alias("n_segs"), F.sum("bare_cr").alias("bare_cr"),
+                                     F.sum("n_bytes").alias("kept"))
+    sizes = listed.filter(F.col("reason").isNull()).select("file", F.col("n_bytes").alias("size"))
+    j = sizes.join(per, "file", "left")
+    lost = (F.col("size") - F.coalesce("kept", F.lit(0))) > 3
+    cr = F.coalesce(F.col("bare_cr") > F.col("n_segs"), F.lit(False))
+    few = F.coalesce(F.col("n_segs"), F.lit(0)) <= 1
+    return j.filter(lost | cr).select("file", F.when(cr | few, F.lit("\r")).otherwise(F.lit("\n")).alias("sep"))
+
+
+def readable(uri: str) -> str:
+    """A listed file name as a path the reader takes literally: decoded, glob characters escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(uri))
+
+
 def original_lines(bronze: DataFrame, file: str) -> DataFrame:
     """The stored raw segments of one file, in order."""
     return bronze.filter(F.col("file") == file).orderBy("blk", "mid").select("raw")
@@ -80,21 +113,23 @@ def block_facts(segments: DataFrame) -> DataFrame:
         F.sum(F.octet_length("raw") + F.lit(1)).alias("n_bytes"),
         F.sum(F.lit(1) + inner_cr).alias("n_lines"),
         (F.sum(inner_cr) > 0).alias("inner_cr"),
-        F.bool_or(F.contains(l1, F.lit("\r"))).alias("has_cr"),
+        F.bool_or(F.contains(l1, F.lit("\r")) | (F.col("sep") == "\r")).alias("has_cr"),
         F.bool_or(F.contains(l1, F.lit('"'))).alias("has_quote"),
         F.bool_or(F.contains(l1, F.lit("\u0000"))).alias("has_nul"),
         F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("valid"),
         F.bool_or(X.has_cp1252_undefined("raw")).alias("undefined"),
         F.max_by(F.endswith(l1, F.lit("\r")), "mid").alias("last_cr"),
+        F.count(F.lit(1)).alias("n_segs"),
+        F.sum(inner_cr).alias("bare_cr"),
     )
 
 
-def file_facts(blocks: DataFrame, exact: bool = True) -> DataFrame:
+def file_facts(blocks: DataFrame) -> DataFrame:
     """(file, encoding, bom, has_cr, ends_nl, n_lines, has_quote) from the blocks.
 
-    Segments count their bytes plus one LF each; against the file size that
-    leaves 0 or -1 (final LF or not), plus 3 for a BOM.  Without ``exact``
-    segments (``any_line_end``) neither is known: no BOM, a final newline.
+    Segments count their bytes plus one separator each (LF, or CR for files
+    cut at CR); against the file size that leaves 0 or -1 (final line end or
+    not), plus 3 for a BOM.
     """
     rest = F.any_value("file_bytes") - F.sum("n_bytes")
     whole = blocks.groupBy("file").agg(
@@ -102,8 +137,8 @@ def file_facts(blocks: DataFrame, exact: bool = True) -> DataFrame:
         F.bool_or("has_quote").alias("has_quote"), F.bool_and("valid").alias("valid"),
         F.bool_or("undefined").alias("undefined"), F.max_by("last_cr", "blk").alias("last_cr"),
     )
-    bom = F.col("rest") >= 2 if exact else F.lit(False)
-    ends_nl = F.col("rest").isin(0, 3) | F.col("last_cr") if exact else F.lit(True)
+    bom = F.col("rest") >= 2
+    ends_nl = F.col("rest").isin(0, 3) | F.col("last_cr")
     return whole.select(
         "file", "n_lines", "has_cr", "has_quote", bom.alias("bom"), ends_nl.alias("ends_nl"),
         X.encoding_label("valid", "undefined", bom).alias("encoding"),

@@ -198,14 +198,25 @@ def test_blocks_match_csv_reader(spark, tmp_path, small_splits):
         assert (r["physical_lines"], r["logical_lines"], r["max_physical_per_record"]) == (text.count("\n") + 1, logical, longest)
 
 
-def test_cr_only_files_in_splits(spark, tmp_path, small_splits):
-    (tmp_path / "mac.csv").write_bytes(b"row_id,full_name\r" + b"".join(b"%d,name %d\r" % (i, i) for i in range(300)))
+def test_cr_only_files_in_splits(spark, tmp_path, small_splits, monkeypatch):
+    """No switch: CR files are found by their facts and read again in many blocks, BOM and last line end kept."""
+    monkeypatch.setattr(S, "MAX_SEGMENT_BYTES", 1000)
+    (tmp_path / "mac file.csv").write_bytes(b"row_id,full_name\r" + b"".join(b"%d,name %d\r" % (i, i) for i in range(300)))
+    (tmp_path / "mac_bom.csv").write_bytes(b"\xef\xbb\xbfrow_id,full_name\r" + b"\r".join(b"%d,name %d" % (i, i) for i in range(200)))
+    (tmp_path / "small_mac.csv").write_bytes(b"row_id,full_name\r1,a\r2,b\r")
     (tmp_path / "dos.csv").write_bytes(b"row_id,full_name\r\n" + b"".join(b'%d,"a\r\nb%d"\r\n' % (i, i) for i in range(100)))
-    result = repair(spark, str(tmp_path), any_line_end=True)
-    assert result.bronze.filter("file LIKE '%mac.csv'").select("blk").distinct().count() > 1
+    (tmp_path / "long.csv").write_bytes(b"row_id,full_name\n" + b"1," + b"x" * 3000 + b"\n" + b"".join(b"%d,n\n" % i for i in range(2, 200)))
+    result = repair(spark, str(tmp_path))
+    assert result.bronze.filter("file LIKE '%mac%20file.csv'").select("blk").distinct().count() > 1
     rows = by_name(result)
-    assert rows["mac.csv"] == [[str(i), f"name {i}"] for i in range(300)]
+    assert rows["mac file.csv"] == [[str(i), f"name {i}"] for i in range(300)]
+    assert rows["mac_bom.csv"] == [[str(i), f"name {i}"] for i in range(200)]
+    assert rows["small_mac.csv"] == [["1", "a"], ["2", "b"]]
     assert rows["dos.csv"] == [[str(i), f"a\nb{i}"] for i in range(100)]
+    assert rows["long.csv"] == [["1", "x" * 3000]] + [[str(i), "n"] for i in range(2, 200)]
+    facts = {r["name"]: r for r in result.files.collect()}
+    assert (facts["mac_bom.csv"]["bom"], facts["mac_bom.csv"]["ends_nl"], facts["mac file.csv"]["ends_nl"]) == (True, False, True)
+    assert facts["mac file.csv"]["has_cr"] and not facts["long.csv"]["has_cr"]
 
 
 def test_file_profile_equals_text_profile(spark, tmp_path):
