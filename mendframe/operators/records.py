@@ -102,6 +102,27 @@ def open_blocks(resolved: DataFrame, starts: DataFrame) -> DataFrame:
 
 RECORD = ["file", "blk", "ln", "n_phys", "text", "delimiter"]
 
+# Rows (some 30 bytes) of line-to-record tables up to which they are broadcast, so that lines stay in place.
+BROADCAST_SPAN_ROWS = 2_000_000
+
+
+def record_spans(resolved: DataFrame) -> DataFrame:
+    """(file, start, end): the lines of each multi-line record, from the narrow table of acting lines.
+
+    A record opens at a line that leaves a field open when none was, and ends
+    at the next acting line that closes it, in its block or a later one
+    (running minima over rows in reverse order, one row per line or block).
+    ``end`` is null when the record is still open at the end of the file.
+    """
+    later = Window.partitionBy("file", "blk").orderBy(F.desc("ln")).rowsBetween(Window.unboundedPreceding, -1)
+    closing = F.when(F.col("after") == 0, F.col("ln"))
+    openers = resolved.withColumn("end_in", F.min(closing).over(later)).filter("before = 0 AND after = 1")
+    per_block = resolved.groupBy("file", "blk").agg(F.min(closing).alias("first_close"))
+    after_block = Window.partitionBy("file").orderBy(F.desc("blk")).rowsBetween(Window.unboundedPreceding, -1)
+    next_close = per_block.select("file", "blk", F.min("first_close").over(after_block).alias("end_later"))
+    return openers.join(next_close, ["file", "blk"], "left").select(
+        "file", F.col("ln").alias("start"), F.coalesce("end_in", "end_later").alias("end"))
+
 
 def one_line_records(lines: DataFrame) -> DataFrame:
     return lines.select("file", "blk", "ln", F.lit(1).cast("bigint").alias("n_phys"), "text", "delimiter")
@@ -126,20 +147,23 @@ def read_records(lines: DataFrame, effects: DataFrame | None, blocks: DataFrame,
         return one_line_records(lines), None
 
     calm = one_line_records(with_facts(lines, opened.filter("NOT touched").select("file", "blk"), n_blocks))
-    busy = with_facts(
-        lines, opened.filter("touched").join(blocks.select("file", "blk", "open_tail_nl"), ["file", "blk"]), n_blocks
-    ).join(resolved.select("file", "blk", "ln", "after"), ["file", "blk", "ln"], "left")
-    above = in_block().rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        busy.withColumn("before", F.coalesce(F.last("after", ignorenulls=True).over(above), F.col("open_in")))
-        .withColumn("after", F.coalesce(F.last("after", ignorenulls=True).over(in_block()), F.col("open_in")))
-        .withColumn("rec_ln", F.coalesce(
-            F.last(F.when(F.col("before") == 0, F.col("ln")), ignorenulls=True).over(in_block()), F.col("carry_ln")))
-        .select("file", "blk", "ln", "rec_ln", "before", "after", "text", "delimiter", "open_tail_nl")
-    )
-    placed = ws.save(placed, "placed_lines")
-    single = one_line_records(placed.filter("before = 0 AND after = 0"))
-    parts = placed.filter("before = 1 OR after = 1")
+    busy = with_facts(lines, opened.filter("touched").join(blocks.select("file", "blk", "open_tail_nl"), ["file", "blk"]).select(
+        "file", "blk", "open_tail_nl"), n_blocks)
+    spans = ws.save(record_spans(resolved), "record_spans")
+    # lines of closed multi-line records by number, narrow; a record open at the end runs to the end of its file
+    inside = ws.save(spans.filter(F.col("end").isNotNull()).select(
+        "file", F.explode(F.sequence("start", "end")).alias("ln"), F.col("start").alias("rec_ln")), "span_lines")
+    tails = spans.filter(F.col("end").isNull()).select("file", F.col("start").alias("tail_ln"))
+    n_tails = tails.count()
+    tails = F.broadcast(tails) if n_tails <= BROADCAST_SPAN_ROWS else tails
+    n_inside = inside.count()
+    inside = F.broadcast(inside) if n_inside <= BROADCAST_SPAN_ROWS else inside
+    tagged = busy.join(inside, ["file", "ln"], "left").join(tails, "file", "left")
+    open_end = F.coalesce(F.col("ln") >= F.col("tail_ln"), F.lit(False))
+    placed = tagged.select("file", "blk", "ln", "text", "delimiter", "open_tail_nl", open_end.alias("open_end"),
+                           F.coalesce("rec_ln", F.when(open_end, F.col("tail_ln"))).alias("rec_ln"))
+    single = one_line_records(placed.filter(F.col("rec_ln").isNull()))
+    parts = placed.filter(F.col("rec_ln").isNotNull())
     oversized, fitting = None, parts
     if max_record_chars is not None:
         sizes = parts.groupBy("file", "rec_ln").agg(F.sum(F.length("text") + 1).alias("chars"))
@@ -149,7 +173,7 @@ def read_records(lines: DataFrame, effects: DataFrame | None, blocks: DataFrame,
         F.min("blk").alias("blk"), F.count(F.lit(1)).alias("n_phys"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "text"))), lambda r: r.getField("text")), "\n").alias("text"),
         F.any_value("delimiter").alias("delimiter"),
-        F.max_by(F.col("open_tail_nl") & (F.col("after") == 1), "ln").alias("tail"),
+        F.max_by(F.col("open_tail_nl") & F.col("open_end"), "ln").alias("tail"),
     ).withColumn("text", F.when(F.col("tail"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
     return calm.select(RECORD).unionByName(single.select(RECORD)).unionByName(joined.select(RECORD)), oversized
 
