@@ -127,10 +127,12 @@ def test_core_plans_stay_in_the_jvm(spark, sf, name):
         assert "Exchange" not in plan
 
 
+@pytest.mark.parametrize("narrow", [-1, 1_000_000])
 @pytest.mark.parametrize("threshold", [0, 1_000_000])
-def test_null_and_repeated_order_values(spark, monkeypatch, threshold):
-    """Neither the size nor the kind of join decides what stays."""
+def test_null_and_repeated_order_values(spark, monkeypatch, threshold, narrow):
+    """Neither the size nor the kind of join nor the plan chosen by row width decides what stays."""
     monkeypatch.setattr(D, "BROADCAST_ROWS", threshold)
+    monkeypatch.setattr(D, "NARROW_ROW_BYTES", narrow)
     data = [(None, "a"), (1, "A "), (2, "a"), (None, "b"), (None, "b"), (3, "c"), (3, "C"), (3, "d"), (5, "D"), (5, "e")]
     df = spark.createDataFrame(data, "_row_id long, name string")
     near = sorted(map(str, D.drop_near_duplicates(df, "_row_id").collect()))
@@ -144,7 +146,9 @@ def test_null_and_repeated_order_values(spark, monkeypatch, threshold):
         (0, "b"), (1, "A "), (2, "a"), (3, "C"), (3, "c"), (3, "d"), (5, "D"), (5, "e")]
 
 
-def test_exact_duplicates_by_value(spark):
+@pytest.mark.parametrize("narrow", [-1, 1_000_000])
+def test_exact_duplicates_by_value(spark, monkeypatch, narrow):
+    monkeypatch.setattr(D, "NARROW_ROW_BYTES", narrow)
     rows = [(0, 0.0, "a", None), (1, -0.0, "a", None), (2, None, "a", "1"), (3, 1.0, None, "a"), (4, 1.0, "a", None), (5, float("nan"), "", ""), (6, float("nan"), "", "")]
     df = spark.createDataFrame(rows, "_row_id long, x double, s string, t string")
     assert ids(D.drop_exact_duplicates(df, "_row_id")) == [0, 2, 3, 4, 5]
@@ -152,6 +156,18 @@ def test_exact_duplicates_by_value(spark):
     assert ids(D.drop_exact_duplicates(nested, "_row_id")) == [0, 2, 3, 5]
 
 
+def test_plan_by_width(spark, monkeypatch):
+    """Narrow rows take one aggregate, wide ones digests; the rows are the same."""
+    df = spark.createDataFrame([(i, "x" * (i % 3), i % 2) for i in range(60)] + [(None, "x", 1), (7, "x", 1)], "_row_id long, s string, k long")
+    assert D.mean_width(df, [F.col("s"), F.col("k")]) < D.NARROW_ROW_BYTES
+    monkeypatch.setattr(D, "NARROW_ROW_BYTES", -1)
+    wide = sorted(map(str, D.drop_exact_duplicates(df, "_row_id").collect()))
+    monkeypatch.setattr(D, "NARROW_ROW_BYTES", 1_000_000)
+    narrow = D.drop_exact_duplicates(df, "_row_id")
+    assert "Exchange" in narrow._jdf.queryExecution().executedPlan().toString() and sorted(map(str, narrow.collect())) == wide
+    assert D.mean_width(df.limit(0), [F.col("s")]) == 0
+
+
 def test_latch_with_null_payload(spark):
     entities = spark.createDataFrame([(1,), (2,), (3,)], "k long")
     events = spark.createDataFrame([(1, None, 1), (2, "x", None), (2, "y", 5), (9, "z", 1)], "k long, v string, t long")
