@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +31,12 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", order_by: st
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", infer: bool = True, schema: str | None = None) -> DataFrame:
     """Read delimited output back; a missing or unreadable output is a table without columns and rows.
 
-    With ``schema`` no pass over the data infers the types.  Parts whose cells
-    hold line breaks can't be split, so they are read whole.
+    Parts are read in their splits, also where cells hold line breaks
+    (see ``readback``).  With ``schema`` no pass over the data infers the types.
     """
-    reader = spark.read.options(header=True, sep=delimiter, multiLine=True, escape='"')
-    try:
-        return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", infer).csv(path)
-    except AnalysisException:
-        return spark.range(0).select()
+    from .readback import read_split
+
+    return read_split(spark, path, delimiter, schema=schema, infer=infer)
 
 
 MANIFEST_DEFAULTS = {
