@@ -221,6 +221,25 @@ def first_deliveries_stream(spark, sf):
         F.bool_and(F.col("event_id").isNotNull()).alias("is_delivered"), F.count(F.lit(1)).alias("n"))
 
 
+@query("status_latch_stream", """WITH p AS (SELECT user_id AS c_custkey, CASE WHEN event_id % 3 <> 0 THEN event_type END AS note, event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts
+  FROM events WHERE event_type = 'purchase'),
+q AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY ts NULLS LAST, event_id) AS rn FROM p)
+SELECT c.c_custkey, c.c_name, q.note AS first_note, q.event_id AS first_event_id, q.event_id IS NOT NULL AS latched
+FROM customer c LEFT JOIN q ON q.c_custkey = c.c_custkey AND q.rn = 1""")
+def status_latch_stream(spark, sf):
+    """The latch of ``status_latch`` as a stream: first-wins state per customer, drained, joined to all customers."""
+    from ..streaming.events import latch_stream
+
+    e = _event_stream(spark, sf).filter("event_type = 'purchase'").select(
+        F.col("user_id").alias("c_custkey"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("note"), "event_id",
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    first = _drain(latch_stream(e, "c_custkey", ["ts", "event_id"]), Workspace(spark), "latched")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    flat = first.select("c_custkey", F.col("note").alias("first_note"), F.col("event_id").alias("first_event_id"), F.lit(True).alias("_l"))
+    return c.join(flat, "c_custkey", "left").select("c_custkey", "c_name", "first_note", "first_event_id",
+                                                    F.coalesce("_l", F.lit(False)).alias("latched"))
+
+
 @query("file_arrivals", """SELECT o_orderkey::VARCHAR AS order_id, o_custkey::VARCHAR AS customer FROM orders""")
 def file_arrivals(spark, sf):
     from ..streaming.arrivals import repair_arrivals

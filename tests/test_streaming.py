@@ -131,3 +131,26 @@ def test_admission_by_stretches():
         recent = deque(maxlen=m)
         got = [*V.admit(times[:cut], recent, w, m), *V.admit(times[cut:], recent, w, m)]
         assert got == want
+
+
+def test_latch_stream_first_wins_across_restarts(spark, tmp_path):
+    """Late events of a latched key are ignored after a restart; a hot key's many rows reduce to its first."""
+    from mendframe.streaming.events import latch_stream
+
+    schema = "k long, note string, event_id long, ts timestamp"
+    src, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    first = [(1, "a", 10, "2024-01-02 00:00:00"), (1, "b", 11, "2024-01-01 00:00:00"), (2, None, 12, None), (2, "c", 13, None)]
+    first += [(7, f"h{i}", 100 + i, f"2024-02-{i % 27 + 1:02d} 00:00:00") for i in range(3000)]   # one hot key
+    late = [(1, "z", 1, "2023-01-01 00:00:00"), (3, "d", 14, "2024-01-05 00:00:00")]
+
+    def run(rows, part):
+        spark.createDataFrame(rows, "k long, note string, event_id long, ts string").selectExpr(
+            "k", "note", "event_id", "CAST(ts AS timestamp) AS ts").write.mode("append").parquet(f"{src}/{part}")
+        stream = spark.readStream.schema(schema).parquet(f"{src}/*")
+        (latch_stream(stream, "k", ["ts", "event_id"]).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination())
+
+    run(first, "p1")
+    run(late, "p2")
+    got = {r.k: (r.note, r.event_id) for r in spark.read.parquet(out).collect()}
+    assert got == {1: ("b", 11), 2: (None, 12), 3: ("d", 14), 7: ("h0", 100)}
