@@ -42,20 +42,38 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_added() -> str:
+    """The tokenizer file whose added tokens (``<|endoftext|>`` = 50256) are matched in texts, as that library does."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 _encodings: dict = {}
 
 
-def encoding(path: str):
-    """The vocabulary's encoder, once for each worker.  Strings of special tokens are ordinary text."""
-    if path not in _encodings:
+def encoding(path: str, added: str | None = None):
+    """The vocabulary's encoder, once for each worker, with the added tokens of the tokenizer file ``added``.
+
+    Encode with ``allowed_special="all"``: an added token's string in a text
+    is that token, as the tokenizer file's own library gives it without flags.
+    """
+    key = (path, added)
+    if key not in _encodings:
+        import json
+
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                             special_tokens={})
-    return _encodings[path]
+        special = {}
+        if added:
+            with open(added) as f:
+                special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+        _encodings[key] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                            special_tokens=special)
+    return _encodings[key]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -66,12 +84,17 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(at, size) for at in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end: int = END, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, end: int = END, keep_ids: bool = False,
+           added: str | None = None) -> DataFrame:
     """One row for each piece; ``ids`` (array of int) only if asked for."""
     path = vocabulary or default_vocabulary()
+    extra = added if added is not None else (default_added() if vocabulary is None else None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        coder = encoding(path, extra)
+
+        def encode(text: str) -> list[int]:
+            return coder.encode(text, allowed_special="all")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids)}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -62,9 +62,7 @@ def official():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=400, deadline=None)
@@ -73,7 +71,13 @@ def test_ids_are_those_of_the_tokenizer(text):
     global TOKENIZER
     if "TOKENIZER" not in globals():
         TOKENIZER = official()
-    assert packing.encoding(packing.default_vocabulary()).encode_ordinary(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+    coder = packing.encoding(packing.default_vocabulary(), packing.default_added())
+    assert coder.encode(text, allowed_special="all") == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_added_token_in_a_text():
+    coder = packing.encoding(packing.default_vocabulary(), packing.default_added())
+    assert coder.encode("a <|endoftext|> b", allowed_special="all") == [64, 220, 50256, 275]
 
 
 @settings(max_examples=200, deadline=None)
@@ -268,3 +272,14 @@ def test_outer_words_weigh(spark):
     wide = {d: np.float32(weight[abs(d)]) * x for d, x in outer.items()}
     near, far = (masked_lm.class_terms(codes, table, o).agg({"class_logprob": "sum"}).collect()[0][0] for o in (None, wide))
     assert weight[3] > 0 and far > near + 50
+
+
+def test_pieces_hold_the_added_token(spark):
+    import zlib
+
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(df).collect()}
+    assert got == {1: (5, zlib.crc32(np.asarray([64, 220, 50256, 275, 0], "<u4").tobytes())),
+                   2: (1, zlib.crc32(np.asarray([0], "<u4").tobytes()))}
