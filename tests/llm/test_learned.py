@@ -283,3 +283,9 @@ def test_pieces_hold_the_added_token(spark):
     got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(df).collect()}
     assert got == {1: (5, zlib.crc32(np.asarray([64, 220, 50256, 275, 0], "<u4").tobytes())),
                    2: (1, zlib.crc32(np.asarray([0], "<u4").tobytes()))}
+
+
+def test_vocabulary_cuts_words_as_the_workers_do(spark):
+    text = "a\x1cb c d\x85e  f\x1fg"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sorted(r.word for r in masked_lm.vocabulary(df).collect()) == sorted(text.split())
