@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes up to which a written table is broadcast (some 40 MB at most); a larger one is joined by a shuffle.
@@ -44,3 +47,17 @@ def lookup(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     nulls = big.filter(F.col(key).isNull()).select(*big.columns, *extra)
     cols = [*big.columns, *(f.name for f in small.schema.fields if f.name != key)]
     return hot_rows.select(*cols).unionByName(cold_rows.select(*cols)).unionByName(nulls.select(*cols))
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most ``most`` rows in the jobs run inside; a batch is held by the JVM and by the worker at once."""
+    now = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(now), most) if int(now) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, now)

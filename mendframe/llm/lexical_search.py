@@ -41,7 +41,10 @@ Scale: bags and sketches are written (shared folder), no step shuffles texts,
 the only shuffles are the ``df`` count of query terms (map-side combined, so
 a very frequent term is a few partial counts), the semi-join of bags with the
 candidate blocks (broadcast up to a counted number) and the final ranking
-over at most 10 rows per batch and query.  Queries are taken ``ITEMS_PER_PASS`` at a time, so the matrix and
+over at most 10 rows per batch and query, those below the 10th best that the
+task has seen left out.  Jobs that hand rows to Python do so in Arrow batches of
+``SLICE`` rows and end in a written table, so neither the JVM nor a worker holds
+more rows than that at once.  Queries are taken ``ITEMS_PER_PASS`` at a time, so the matrix and
 term lists that go to the workers are bounded.
 
 Defined cases:
@@ -84,8 +87,10 @@ COORDS = 65536
 SEED_BLOCKS = 2
 #: Impacts are below 10^6; a sketch byte q stands for impacts up to q * STEP (rounded up, so bounds stay bounds).
 STEP = 3922
-#: Rows turned into Python objects at once.
+#: Rows handed to Python (one Arrow batch) and turned into Python objects at once.
 SLICE = 256
+#: Terms whose coordinates a worker remembers; beyond that it starts afresh.
+MEMORY = 200_000
 #: Queries looked up per pass (their terms and weights go to the workers with the code).
 ITEMS_PER_PASS = 200
 
@@ -125,6 +130,8 @@ def index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
+                if len(cache) > MEMORY:
+                    cache.clear()
                 cs = [Counter(terms_of(t)) for t in b.column(1).to_pylist()]
                 blocks = [(part << 32) | ((seen + k) // BLOCK_DOCS) for k in range(len(cs))]
                 seen += len(cs)
@@ -272,24 +279,24 @@ def _candidates(sketches: DataFrame, q: Queries, threshold: np.ndarray) -> DataF
 
 
 def _rescored(bagged: DataFrame, wanted: DataFrame, q: Queries, N: int, L: int) -> DataFrame:
-    """(q, doc_id, score): exact scores of the documents of the wanted blocks, the 10 best of each batch and query."""
+    """(q, doc_id, score): exact scores of the documents of the wanted blocks, the 10 best of each batch and query.
+
+    A task remembers the 10 best scores it has seen for each query and leaves
+    out what lies below them; equal scores stay, the final ranking orders them.
+    """
     def run(batches):
+        best = np.zeros((TOP, len(q.items)), np.int64)  # ascending
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
                 doc_ids = b.column(0).to_pylist()
                 score = q.scores(b.column(1).to_numpy(zero_copy_only=False), b.column(2), b.column(3), N, L)
                 order = np.array(sorted(range(len(doc_ids)), key=lambda k: (doc_ids[k] is None, doc_ids[k] or 0)), np.int64)
-                qs_, ds_, ss_ = [], [], []
-                for j in range(score.shape[1]):
-                    col = score[order, j]
-                    best = order[np.argsort(-col, kind="stable")[:TOP]]
-                    for k in best:
-                        if score[k, j] > 0:
-                            qs_.append(j)
-                            ds_.append(doc_ids[k])
-                            ss_.append(int(score[k, j]))
-                yield pa.RecordBatch.from_arrays([pa.array(qs_, pa.int32()), pa.array(ds_, pa.int64()), pa.array(ss_, pa.int64())],
+                rows = order[np.argsort(-score[order], axis=0, kind="stable")[:TOP]]
+                top = np.take_along_axis(score, rows, axis=0)
+                some, js = np.nonzero((top > 0) & (top >= best[0]))
+                best = np.sort(np.vstack([best, top]), axis=0)[-TOP:]
+                yield pa.RecordBatch.from_arrays([pa.array(js.astype(np.int32)), pa.array([doc_ids[k] for k in rows[some, js]], pa.int64()), pa.array(top[some, js])],
                                                  names=["q", "doc_id", "score"])
 
     picked = bagged.join(keys.small(wanted), "block", "left_semi")
@@ -304,6 +311,11 @@ def _top(scored: DataFrame) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "text", doc_id: str = "doc_id",
            query_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(item_id, rank, doc_id, score): each query's 10 best documents with a score above 0."""
+    with keys.arrow_rows(docs.sparkSession, SLICE):
+        return _search(docs, queries, work, text, doc_id, query_text, item_id)
+
+
+def _search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str, doc_id: str, query_text: str, item_id: str) -> DataFrame:
     spark = docs.sparkSession
     bagged = work.save(index(docs, text, doc_id), "search_bags")
     stats = bagged.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
@@ -330,7 +342,7 @@ def search(docs: DataFrame, queries: DataFrame, work: Workspace, text: str = "te
         tenth = {r["q"]: r["score"] for r in _top(first).filter(F.col("rank") == TOP).select("q", "score").collect()}
         threshold = np.array([float(tenth.get(j, 1)) for j in range(len(chunk))])
         rest = work.save(_candidates(sketched, q, threshold).join(keys.small(seeds), "block", "left_anti"), f"search_rest_{start}")
-        scored = first.unionByName(_rescored(bagged, rest, q, N, L))
+        scored = first.unionByName(work.save(_rescored(bagged, rest, q, N, L), f"search_scored_{start}"))
         ids = spark.createDataFrame([(j, i) for j, i in enumerate(chunk)], "q int, item_id long")
         results.append(_top(scored).join(F.broadcast(ids), "q").select(
             "item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))

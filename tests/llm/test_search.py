@@ -6,7 +6,7 @@ from collections import Counter
 
 from brute import awkward, rows
 
-from mendframe.llm import lexical_search
+from mendframe.llm import keys, lexical_search
 from mendframe.llm.queries import QUERIES
 from mendframe.sources.workspace import Workspace
 
@@ -78,3 +78,22 @@ def test_query_whole_tables(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert ranked(QUERIES["op13_max_sketch_search"](spark, sf)) == plain_search(docs, items)
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Every job with rows in Python runs in batches of SLICE rows, and the result that is left has none."""
+    monkeypatch.setattr(lexical_search, "SLICE", 7)
+    seen, before = [], spark.conf.get(keys.ARROW_ROWS)
+
+    class Watched(Workspace):
+        def save(self, df, name):
+            seen.append(int(spark.conf.get(keys.ARROW_ROWS)))
+            return super().save(df, name)
+
+    texts = [f"common word {i % 3}" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    items = [(1, "common 2"), (2, "word")]
+    got = lexical_search.search(docs, spark.createDataFrame(items, "item_id long, text string"), Watched(spark))
+    assert seen and max(seen) == 7 and spark.conf.get(keys.ARROW_ROWS) == before
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ranked(got) == plain_search(list(enumerate(texts)), items)
