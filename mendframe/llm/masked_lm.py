@@ -9,8 +9,7 @@ whole corpus have one each, all others share classes by their look (case,
 digits, symbols, length, ending).  P(class | window) is a small network over
 the classes of both neighbours, times the association of the class with each
 outer word of the window; the weights of the outer words (two numbers) are fitted
-by a Newton step over the positions of documents chosen by hash, some
-``FIT_POSITIONS`` of them, a bounded sample; counts, network and scores use every position.  Spark counts (left, middle, right) and
+by a Newton step over every position.  Counts, network, weights and scores use the whole corpus.  Spark counts (left, middle, right) and
 the pairs at each outer distance over all documents; the network is trained on
 the counts in numpy, for a cost that doesn't depend on the corpus.
 
@@ -29,6 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +55,18 @@ WEIGHT = 0.25
 #: White space as Python's ``str.split()`` takes it (Java's ``\s`` with Unicode lacks U+001C to U+001F), so that
 #: the vocabulary counted by Spark and the words coded by the workers are the same.
 SPACE = "[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
-#: Positions that are scored at once.
-CHUNK = 8192
-#: Positions on which the weights of the outer words are fitted: documents chosen by a hash of their key, so that
-#: about this many positions take part whatever the size of the corpus (all of them in a smaller one).
-FIT_POSITIONS = 2_000_000
+#: Positions that are scored at once: few enough for their rows of classes to stay in a core's cache.
+CHUNK = 1024
+#: Sums of outer terms below this leave float32 room for their exponentials.
+ROOM = 60
 
 
 def look(word: str) -> int:
     """Class 1 to LOOKS of a word that isn't frequent."""
-    if any(c in SYMBOLS for c in word):
+    plain = word.isalpha()  # letters are neither symbols nor digits
+    if not plain and not SYMBOLS.isdisjoint(word):
         kind = 0
-    elif any(c.isdigit() for c in word):
+    elif not plain and any(map(str.isdigit, word)):
         kind = 1
     elif len(word) > 1 and word.isupper():
         kind = 2
@@ -144,26 +144,21 @@ def coded(docs: DataFrame, frequent: list[str], head: dict[str, float] | None =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, (terms, missing) = Classes(frequent), sent.value
+        held = None if terms is None else terms | dict.fromkeys(frequent, 0.0)  # frequent words have a class of their own and no term
         for batch in batches:
             codes, known, rest, none = [], [], [], []
             look_up = classes.__getitem__
             for text in batch.column(1).to_pylist():
                 words = (text or "").split()
                 got = bytes(map(look_up, words))
-                held, other, other_terms = [], [], []
-                if terms is not None:
-                    for w, c in zip(words, got, strict=True):  # one pass: known words add their term, others are listed
-                        if c <= LOOKS:
-                            t = terms.get(w)
-                            if t is None:
-                                other.append(w)
-                                other_terms.append(missing[c])
-                            else:
-                                held.append(t)
+                found, other = [], []
+                if held is not None:  # known words add their term, others are listed
+                    found = [*map(held.get, words)]
+                    other = [i for i, t in enumerate(found) if t is None]
                 codes.append(got)
-                known.append(math.fsum(held))
-                rest.append(other)
-                none.append(other_terms)
+                known.append(math.fsum(filter(None, found)))
+                rest.append([words[i] for i in other])
+                none.append([missing[got[i]] for i in other])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(codes, pa.binary()), pa.array(known, pa.float64()), pa.array(rest, pa.list_(pa.string())), pa.array(none, pa.list_(pa.float64()))],
                 ["doc_id", "classes", "known", "rest", "unseen"])
@@ -270,34 +265,26 @@ def associations(pairs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     return out
 
 
-def fitted(codes: DataFrame, table: np.ndarray, outer: dict[int, np.ndarray], positions: int = 0) -> dict[int, float]:
-    """Weight of each distance: a Newton step on the log-likelihood of the positions of sampled documents, from WEIGHT.
-
-    Documents are kept when a hash of their key falls below ``FIT_POSITIONS / positions`` of its range
-    (all when ``positions`` is at most that).
-    """
-    if positions > FIT_POSITIONS:
-        cut = int(FIT_POSITIONS / positions * 1_000_000)
-        codes = codes.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < cut)
-    sent = codes.sparkSession.sparkContext.broadcast((np.ascontiguousarray(table.transpose(0, 2, 1)).reshape(-1, CLASSES), outer))
+def fitted(codes: DataFrame, table: np.ndarray, outer: dict[int, np.ndarray]) -> dict[int, float]:
+    """Weight of each distance: a Newton step on the log-likelihood of all positions, from WEIGHT."""
+    scaled = {d: np.float32(WEIGHT) * x for d, x in outer.items()}
+    sent = codes.sparkSession.sparkContext.broadcast((np.ascontiguousarray(table.transpose(0, 2, 1)).reshape(-1, CLASSES), scaled))
     k = len(OUTER)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, tables = sent.value
-        slope, bend = np.zeros(k), np.zeros((k, k))
+        base, tables = np.exp(sent.value[0]), sent.value[1]
+        slope, bend, ones = np.zeros(k), np.zeros((k, k)), np.ones(CLASSES, np.float32)
         for batch in batches:
             c, every, _ = laid_out(batch.column(0).to_pylist())
             for i in range(0, len(every), CHUNK):
                 at = every[i:i + CHUNK]
                 own, rows = c[at], np.arange(len(at))
-                f = [tables[-d][c[at - d]] + tables[d][c[at + d]] for d in OUTER]
-                z = base[c[at - 1] * CLASSES + c[at + 1]]
-                for x in f:
-                    z += WEIGHT * x
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
+                f = [tables[-d].take(c[at - d], axis=0) + tables[d].take(c[at + d], axis=0) for d in OUTER]
+                p = np.exp(reduce(np.add, f))
+                p *= base.take(c[at - 1] * CLASSES + c[at + 1], axis=0)
+                p /= (p @ ones)[:, None]
                 weighed = [p * x for x in f]
-                mean = [w.sum(axis=1, dtype=np.float64) for w in weighed]
+                mean = [(w @ ones).astype(np.float64) for w in weighed]
                 for j in range(k):
                     slope[j] += f[j][rows, own].sum(dtype=np.float64) - mean[j].sum()
                     for m in range(j, k):
@@ -306,8 +293,8 @@ def fitted(codes: DataFrame, table: np.ndarray, outer: dict[int, np.ndarray], po
 
     got = {r["i"]: r["x"] for r in codes.select("classes").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
     sums = np.array([got.get(i, 0.0) for i in range(k * (k + 1))])
-    bend = sums[k:].reshape(k, k)
-    step = np.linalg.solve(bend + np.triu(bend, 1).T + 1e-3 * np.eye(k), sums[:k])
+    slope, bend = sums[:k] / WEIGHT, sums[k:].reshape(k, k) / WEIGHT ** 2  # the terms were taken WEIGHT times
+    step = np.linalg.solve(bend + np.triu(bend, 1).T + 1e-3 * np.eye(k), slope)
     return {d: float(w) for d, w in zip(OUTER, np.clip(WEIGHT + step, 0, 1), strict=True)}
 
 
@@ -320,6 +307,8 @@ def class_terms(codes: DataFrame, table: np.ndarray, outer: dict[int, np.ndarray
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, tables = sent.value
+        ones = np.ones(CLASSES, np.float32)
+        tight = sum(float(np.abs(x).max()) for x in (tables or {}).values()) > ROOM
         for batch in batches:
             c, every, n = laid_out(batch.column(place).to_pylist())
             logp = np.empty(len(every))
@@ -329,13 +318,15 @@ def class_terms(codes: DataFrame, table: np.ndarray, outer: dict[int, np.ndarray
                 if not tables:
                     logp[i:i + CHUNK] = base[cell, c[at]]
                     continue
-                z = base[cell]
+                z = base.take(cell, axis=0)
                 for d, x in tables.items():
-                    z += x[c[at + d]]
+                    z += x.take(c[at + d], axis=0)
                 own = z[np.arange(len(at)), c[at]]
-                most = z.max(axis=1)
-                z -= most[:, None]
-                logp[i:i + CHUNK] = own - most - np.log(np.exp(z, out=z).sum(axis=1))
+                if tight:
+                    most = z.max(axis=1)
+                    z -= most[:, None]
+                    own -= most
+                logp[i:i + CHUNK] = own - np.log(np.exp(z, out=z) @ ones)
             sums = np.bincount(np.repeat(np.arange(len(n)), n), logp, len(n)) if len(n) else np.zeros(0)
             others = [x for i, x in enumerate(batch.columns) if i != place]
             yield pa.RecordBatch.from_arrays([*others, pa.array(n, pa.int64()), pa.array(sums, pa.float64())],
@@ -366,7 +357,7 @@ def learn_and_score(docs: DataFrame, work: Workspace) -> DataFrame:
         (counts if r["kind"] == 1 else pairs[r["kind"]])[r["cell"]] = r["n"]
     table = train(counts.reshape(CLASSES, CLASSES, CLASSES))
     outer = associations({d: n.reshape(CLASSES, CLASSES) for d, n in pairs.items()})
-    weight = fitted(codes, table, outer, int(counts.sum(dtype=np.float64)))
+    weight = fitted(codes, table, outer)
     by_class = class_terms(codes.select("key", "doc_id", "known", "classes"), table, {d: np.float32(weight[abs(d)]) * x for d, x in outer.items()})
     rest = codes.select("key", F.explode(F.arrays_zip("rest", "unseen")).alias("x")).select("key", F.col("x.rest").alias("word"), F.col("x.unseen").alias("unseen"))
     joined = rest.join(terms.select("word", "logp"), "word", "left")

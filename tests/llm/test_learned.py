@@ -289,3 +289,29 @@ def test_vocabulary_cuts_words_as_the_workers_do(spark):
     text = "a\x1cb c d\x85e  f\x1fg"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert sorted(r.word for r in masked_lm.vocabulary(df).collect()) == sorted(text.split())
+
+
+def test_weights_are_fitted_on_every_position(spark, monkeypatch):
+    """The weights are a Newton step over all documents, however many, against a plain one in doubles."""
+    monkeypatch.setattr(masked_lm, "FIT_POSITIONS", 40, raising=False)
+    held = {}
+    for name in ("train", "associations"):
+        made = getattr(masked_lm, name)
+        monkeypatch.setattr(masked_lm, name, lambda x, name=name, made=made: held.setdefault(name, made(x)))
+    fit = masked_lm.fitted
+    monkeypatch.setattr(masked_lm, "fitted", lambda *a: held.setdefault("weight", fit(*a)))
+    texts = [f"{a} x y {a}" for a in ("u", "v")] * 40 + ["u x v", "y y u v x", None, ""] * 30
+    docs = B.awkward(spark, texts).repartition(3)
+    masked_lm.learn_and_score(docs, Workspace(spark))
+    classes = masked_lm.Classes(masked_lm.frequent_words(docs))
+    slope, bend = np.zeros(2), np.zeros((2, 2))
+    for text in texts:
+        c = [0, 0, *classes.of(text), 0, 0]
+        for i in (i for i, x in enumerate(c) if x):
+            f = np.array([held["associations"][-d][c[i - d]] + held["associations"][d][c[i + d]] for d in masked_lm.OUTER], np.float64)
+            p = np.exp(held["train"][c[i - 1], :, c[i + 1]] + masked_lm.WEIGHT * f.sum(axis=0))
+            p /= p.sum()
+            slope += f[:, c[i]] - f @ p
+            bend += (f * p) @ f.T - np.outer(f @ p, f @ p)
+    want = np.clip(masked_lm.WEIGHT + np.linalg.solve(bend + 1e-3 * np.eye(2), slope), 0, 1)
+    assert [held["weight"][d] for d in masked_lm.OUTER] == pytest.approx(want, abs=1e-3) and 0 < want[0] + want[1] < 2
