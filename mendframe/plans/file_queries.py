@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files as S
 from ..sources import sinks
-from ..sources.workspace import Workspace
+from ..sources.workspace import Workspace, shared_dir
 from . import inputs as I
 from .clean_queries import RATE_LIMIT_SQL
 from .registry import query, table
@@ -19,6 +23,32 @@ def _write_lines(df, path: str, header: str, line: str = "record", by: str | Non
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def _in_order(df: DataFrame, *order: str) -> DataFrame:
+    """The rows in order as one partition, sorted by parallel tasks before.
+
+    The sorted rows are checkpointed, so the task that writes them to one file
+    passes them on one by one and holds none.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"{shared_dir(df.sparkSession)}/checkpoints")
+    return df.orderBy(*order).drop(*order).checkpoint().coalesce(1)
+
+
+OPEN_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def _open_writers(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tasks keep up to ``most`` partitions' files open, so that a partitioned write needs no sort (beyond that it sorts the rest)."""
+    now = spark.conf.get(OPEN_WRITERS)
+    spark.conf.set(OPEN_WRITERS, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_WRITERS, now)
+
+
 @query("raw_segments", """WITH l AS (SELECT lang, string_split(text, chr(10)) AS p FROM documents)
 SELECT lang, sum(len(p))::BIGINT AS n_lines, sum(list_sum(list_transform(p, lambda x: octet_length(encode(x)))))::BIGINT AS n_bytes FROM l GROUP BY lang""")
 def raw_segments(spark, sf):
@@ -123,8 +153,7 @@ UNION ALL SELECT 'summary', count(*) || '|4|true|' || count(*) FILTER (repaired)
 def result_view(spark, sf):
     """All orders as one file in key order: its summary and its previews."""
     ws = Workspace(spark)
-    records = I.order_records(spark, sf).coalesce(1).sortWithinPartitions("o_orderkey").select("record")
-    _write_lines(records, f"{ws.path}/texts", _HEADER)
+    _write_lines(_in_order(I.order_records(spark, sf), "o_orderkey"), f"{ws.path}/texts", _HEADER)
     r = repair(spark, [f"{ws.path}/texts"])
     v = r.view(r.files.select("file").first()["file"])
     rows = [d.select(F.lit(part).alias("part"), F.concat_ws("|", "order_id", "customer", "status", "priority").alias("line"))
@@ -146,7 +175,8 @@ def repair_near_duplicates(spark, sf):
     seg = F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
     line = F.concat_ws(";", "c_custkey", F.concat(F.lit(" "), seg, F.lit(" ")), "c_nationkey")
     c = table(spark, sf, "customer").select(line.alias("record"), (F.col("c_nationkey") % 3).alias("part"), "c_custkey")
-    _write_lines(c.coalesce(1).sortWithinPartitions("part", "c_custkey").drop("c_custkey"), f"{ws.path}/texts", "cust_id;market_segment;nation_key", by="part")
+    with _open_writers(spark, 8):
+        _write_lines(_in_order(c, "c_custkey"), f"{ws.path}/texts", "cust_id;market_segment;nation_key", by="part")
     r = repair(spark, [f"{ws.path}/texts"], near_dupes="remove")
     cell = lambda i: F.get("cells", F.lit(i))
     part = F.regexp_extract("file", "/part=([^/]+)/", 1).cast("int")
@@ -260,7 +290,8 @@ def file_arrivals_rejected(spark, sf):
 
     ws = Workspace(spark)
     o = table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", "o_custkey").alias("value"), "o_orderstatus")
-    o.coalesce(1).sortWithinPartitions("o_orderstatus").write.partitionBy("o_orderstatus").text(f"{ws.path}/made")
+    with _open_writers(spark, 8):  # the scan and its rows stay parallel up to the task that writes
+        o.repartition(1).write.partitionBy("o_orderstatus").text(f"{ws.path}/made")
     fs, path = ws._fs, ws.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(path(f"{ws.path}/in"))
     fs.create(path(f"{ws.path}/in/empty.csv")).close()

@@ -272,3 +272,15 @@ def test_read_back_of_nothing(spark, tmp_path):
     assert back.columns == [] and back.count() == 0
     rows = spark.createDataFrame([("a", float("nan")), ("b", 3.0)], "job_id string, rows double")
     assert {r.job_id: r.rows for r in sinks.manifest_rows(rows).collect()} == {"a": None, "b": 3}
+
+
+def test_one_file_is_written_without_a_sort(spark):
+    """Rows that go to one file in order are sorted by several tasks before; the task that writes them sorts nothing."""
+    from mendframe.plans import file_queries
+
+    rows = [((i * 7919) % 1000, f"r{(i * 7919) % 1000}") for i in range(1000)] + [(None, "none"), (5, "r5")]
+    df = spark.createDataFrame(rows, "k long, record string").repartition(5)
+    got = file_queries._in_order(df, "k")
+    assert got.columns == ["record"] and got.rdd.getNumPartitions() == 1
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.record for r in got.collect()] == [t for _, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))]
